@@ -223,3 +223,14 @@ def one_thread() -> None:
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS", "RAYON_NUM_THREADS"):
         os.environ.setdefault(name, "1")
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+def keep_rows(docs: DataFrame, decide) -> DataFrame:
+    """The rows of docs, with all their columns, for which decide(texts) is true."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(decide(b.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

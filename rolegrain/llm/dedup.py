@@ -234,3 +234,11 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     out = signed.select("doc_id", *key).join(member, key, "left")
     mine = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", mine.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, that are their group's smallest doc_id; of rows that repeat it, the one with the first text."""
+    ids = link(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
+    joined = docs.join(ids, docs["doc_id"].cast("long") == F.col("__kept_id"), "left").where(F.col("__kept_id").isNotNull() | docs["doc_id"].isNull())
+    first = F.row_number().over(Window.partitionBy("__kept_id").orderBy("text"))
+    return joined.withColumn("__first", first).where((F.col("__first") == 1) | F.col("__kept_id").isNull()).select(*[docs[c] for c in docs.columns])

@@ -98,34 +98,41 @@ def _softmax(s):
     return e / e.sum(1, keepdims=True)
 
 
-def predict(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, lang_pred and score of docs(text, ...)."""
+def judge(model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Languages and scores of a column of texts."""
     langs, weights, heat = model
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((langs, weights, heat))  # grams x languages: 64 KB a language
+    data, off = common.text_buffer(text)
+    n = len(off) - 1
+    pred, score = np.full(n, "und", object), np.zeros(n)
+    if langs:
+        letters = has_letter(text, data, off)
+        for i, j in common.slices(off):
+            p = presence(data[off[i] : off[j]], off[i : j + 1] - off[i]).astype(np.float32)
+            prob = _softmax(heat * (p @ weights) / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1)))
+            best = prob.argmax(1)
+            ok = letters[i:j]
+            pred[i:j][ok] = np.array(langs, object)[best][ok]
+            score[i:j][ok] = prob[np.arange(j - i), best][ok]
+    return pred, score
+
+
+def predict(docs: DataFrame, model) -> DataFrame:
+    """doc_id, lang_pred and score of docs(doc_id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # grams x languages: 64 KB a language
 
     def run(batches):
         common.one_thread()
-        langs, weights, heat = shared.value
         for b in batches:
-            text = b.column(len(keep))
-            data, off = common.text_buffer(text)
-            n = len(off) - 1
-            pred, score = np.full(n, "und", object), np.zeros(n)
-            if langs:
-                letters = has_letter(text, data, off)
-                for i, j in common.slices(off):
-                    p = presence(data[off[i] : off[j]], off[i : j + 1] - off[i]).astype(np.float32)
-                    prob = _softmax(heat * (p @ weights) / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1)))
-                    best = prob.argmax(1)
-                    ok = letters[i:j]
-                    pred[i:j][ok] = np.array(langs, object)[best][ok]
-                    score[i:j][ok] = prob[np.arange(j - i), best][ok]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
-
-    chosen = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{schema}, lang_pred string, score double")
+            pred, score = judge(shared.value, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def known(docs: DataFrame, model) -> DataFrame:
+    """The rows of docs, with all their columns, whose language isn't ``und``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return common.keep_rows(docs, lambda text: judge(shared.value, text)[0] != "und")
 
 
 def held_out(mod: int, rest: int):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup, langid, packing, quality, tokenfile, tokens, toxicity
+from . import decontam, dedup, html, knn, langid, licenses, packing, quality, tokenfile, tokens, toxicity
 from .common import table
 
 
@@ -10,10 +10,18 @@ def op1_quality_classifier(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark, sf_dir):
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_extraction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_minhash_dedup(spark, sf_dir):
     return dedup.link(table(spark, sf_dir, "documents"))
 
@@ -22,6 +30,14 @@ def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path())
 
 
+def op7_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_top_k(spark, sf_dir):
+    return knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -35,7 +51,19 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_minhash_dedup": OP5_SQL}
+    return {"op5_minhash_dedup": OP5_SQL, "op7_license_scan": licenses.scan_sql(), "op8_top_k": OP8_SQL}
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
 
 
 OP5_SQL = r"""

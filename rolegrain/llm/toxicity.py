@@ -129,24 +129,32 @@ def _margin(model, data, offsets):
     return z
 
 
-def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns and score of docs(text, ...)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**18 slots and the kept terms' numbers
+def judge(model, text: pa.Array) -> np.ndarray:
+    """Scores of a column of texts."""
+    data, off = common.text_buffer(text)
+    out = np.zeros(len(off) - 1)
+    if model is not None:
+        for i, j in common.slices(off):
+            z = _margin(model, data[off[i] : off[j]], off[i : j + 1] - off[i])
+            out[i:j] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return out
+
+
+def score(docs: DataFrame, model) -> DataFrame:
+    """doc_id and score of docs(doc_id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**18 slots and the kept terms' numbers
 
     def run(batches):
-        model = shared.value
         for b in batches:
-            data, off = common.text_buffer(b.column(len(keep)))
-            out = np.zeros(len(off) - 1)
-            if model is not None:
-                for i, j in common.slices(off):
-                    z = _margin(model, data[off[i] : off[j]], off[i : j + 1] - off[i])
-                    out[i:j] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out)], names=[*keep, "score"])
-
-    chosen = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{schema}, score double")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(judge(shared.value, b.column(1)))], names=["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def civil(docs: DataFrame, model, limit: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that score under the limit."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return common.keep_rows(docs, lambda text: judge(shared.value, text) < limit)
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
