@@ -38,6 +38,11 @@ TEMPLATES = {
 }
 
 
+def _once(value: Column) -> Column:
+    """One row with the value: a generator, into which later lambdas can't inline (and repeat) its making."""
+    return F.explode(F.array(value))
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -55,7 +60,7 @@ def templates(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     """license_id, its distinct shingles and its size class."""
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in sorted(texts.items())]))
     t = spark.range(1).select(rows.alias("t")).select("t.license_id", _words(F.col("t.text")).alias("w")).where(F.size("w") >= WORDS)
-    t = t.select("license_id", F.array_distinct(_shingles(F.col("w"))).alias("set"))
+    t = t.select("license_id", _once(F.array_distinct(_shingles(F.col("w")))).alias("set"))
     return t.withColumn("c", F.pow(F.lit(2.0), F.ceil(F.log2(F.size("set")))).cast("int"))
 
 
@@ -66,14 +71,14 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     known = t.select("license_id", "c", "set").collect()  # the templates are constants
     every = sorted({h for r in known for h in r["set"]})
     classes = sorted({r.c for r in known})
-    words = docs.where("text is not null").select("doc_id", _words(F.col("text")).alias("w")).where(F.size("w") >= WORDS)
-    marked = words.select("doc_id", _shingles(F.col("w")).alias("s"))
+    words = docs.where("text is not null").select("doc_id", _once(_words(F.col("text"))).alias("w")).where(F.size("w") >= WORDS)
+    marked = words.select("doc_id", _once(_shingles(F.col("w"))).alias("s"))
     hits = F.filter(F.transform("s", lambda h, i: F.when(h.isin(every), i)), lambda i: i.isNotNull())
-    marked = marked.select("doc_id", "s", hits.alias("hits")).where(F.size("hits") > 0)
+    marked = marked.select("doc_id", "s", _once(hits).alias("hits")).where(F.size("hits") > 0)
     marked = marked.withColumn("c", F.explode(F.array(*map(F.lit, classes))))
     places = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.array(F.floor(i / F.col("c")).cast("int") - 1, F.floor(i / F.col("c")).cast("int")))))
     opened = marked.select("doc_id", "c", "s", F.explode(F.filter(places, lambda k: k >= 0)).alias("k"))
-    opened = opened.select("doc_id", "c", (F.col("k") * F.col("c")).alias("first_shingle"), F.slice("s", F.col("k") * F.col("c") + 1, 2 * F.col("c")).alias("window"))
+    opened = opened.select("doc_id", "c", (F.col("k") * F.col("c")).alias("first_shingle"), _once(F.slice("s", F.col("k") * F.col("c") + 1, 2 * F.col("c"))).alias("window"))
     banded = opened.select("*", F.posexplode(_bands(F.col("window"))).alias("band", "value"))
     own = t.select("license_id", "c", F.col("set"), F.posexplode(_bands(F.col("set"))).alias("band", "value"))
     found = banded.join(F.broadcast(own), ["c", "band", "value"]).select("doc_id", "license_id", "first_shingle", (F.size(F.array_intersect("window", "set")) / F.size("set")).alias("containment"))
