@@ -3,7 +3,7 @@
 Vectors become integers, floor(256 x). With one more coordinate that lifts all
 to the same norm, larger inner products are smaller distances, so that the
 triangle inequality prunes. Pivots split the space; a pass over the data gives
-each cell's count and its k + 1 smallest distances. Queries form groups by
+each cell's smallest distances, k and one for each row of a query's own id. Queries form groups by
 their nearest pivot; from the summaries each group gets a distance within
 which every query has k neighbours. A vector is replicated only to groups that
 it may serve. Each group is solved in salted parts of bounded size, by blocks
@@ -59,6 +59,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = TOP, pivots: int = PIVOT
     if not n or not dims:
         return spark.createDataFrame([], schema)
     norm = float(top)
+    # a query passes over its own rows, so that many more neighbours are counted
+    most = (data.where(F.col("vec_id") % every == 0).groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0) + k
     chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     p = np.zeros((len(chosen), dims + 1))
     for i, r in enumerate(chosen):
@@ -74,7 +76,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = TOP, pivots: int = PIVOT
             d = _distances(x, np.sqrt(np.maximum(norm - (x * x).sum(1), 0)), p)
             cell = d.argmin(1)
             for c in np.unique(cell):
-                best[c] = np.sort(np.concatenate([best[c], d[cell == c, c]]))[: k + 1]
+                best[c] = np.sort(np.concatenate([best[c], d[cell == c, c]]))[:most]
             q = np.asarray(b.column(0)) % every == 0
             if q.any():
                 d = _distances(x[q], np.zeros(q.sum()), p)
@@ -84,14 +86,14 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = TOP, pivots: int = PIVOT
 
     best, radius = [[] for _ in p], np.full(len(p), -1.0)
     for r in data.mapInArrow(summary, "cell int, best array<double>, radius double").collect():  # a few numbers a cell and task
-        best[r.cell] = sorted(best[r.cell] + list(r.best))[: k + 1]
+        best[r.cell] = sorted(best[r.cell] + list(r.best))[:most]
         radius[r.cell] = max(radius[r.cell], r.radius)
     between = np.sqrt(np.maximum(((p[:, None, :] - p[None, :, :]) ** 2).sum(2), 0))
     reach = np.full(len(p), np.inf)  # within this distance every query of the group has k candidates besides itself
     for g in np.flatnonzero(radius >= 0):
         d = sorted(radius[g] + between[g, c] + x for c in range(len(p)) for x in best[c])
-        if len(d) > k:
-            reach[g] = d[k]
+        if len(d) >= most:
+            reach[g] = d[most - 1]
     groups = np.flatnonzero(radius >= 0)
 
     def route(batches):

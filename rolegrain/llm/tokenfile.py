@@ -85,12 +85,13 @@ def decode_block(raw: memoryview, at: int, freq: np.ndarray, start: np.ndarray,
     at += 8 * lanes
     words = np.frombuffer(raw, "<u4", n_words, at)
     at += 4 * n_words
+    begins = start[symbol]
     ids, w, mask = np.zeros(n, np.uint32), 0, np.uint64((1 << BITS) - 1)
     for t in range(-(-n // lanes)):
         a, z = t * lanes, min(n, (t + 1) * lanes)
         y = x[: z - a]
         slot = y & mask
-        s = symbol[np.searchsorted(start[symbol], slot, side="right") - 1] if len(symbol) < 2048 else symbol[_bucketed(start, symbol, slot)]
+        s = symbol[np.searchsorted(begins, slot, side="right") - 1]
         ids[a:z] = s
         y = freq[s] * (y >> np.uint64(BITS)) + slot - start[s]
         need = np.flatnonzero(y < _LOW)
@@ -98,15 +99,12 @@ def decode_block(raw: memoryview, at: int, freq: np.ndarray, start: np.ndarray,
             y[need] = (y[need] << np.uint64(32)) | words[w : w + len(need)].astype(np.uint64)
             w += len(need)
         x[: z - a] = y
-    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+    # every lane ends in the state that its encoder began with, all words used
+    if w != n_words or (x != _LOW).any() or zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("a block's checksum doesn't match its ids")
     return ids, at
 
 
-def _bucketed(start, symbol, slot):
-    return np.searchsorted(start[symbol], slot, side="right") - 1
-
-
 def write_segment(doc_ids: list, per_doc: list[np.ndarray]) -> bytes:
     ids = np.concatenate(per_doc)
     lengths = np.array([len(p) for p in per_doc], "<u8")

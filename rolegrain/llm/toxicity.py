@@ -4,7 +4,7 @@ Terms of a text are its lower-cased words and their 4- and 5-byte beginnings,
 hashed; a term is present or not. The machine has a weight per term and a
 small vector per term whose inner products weigh pairs of terms that occur
 together. It is trained by Adam on the driver over a bounded sample of labelled
-rows (``sample_rows``), on the terms that at least ``min_rows`` of them hold and
+rows (``sample_rows``), on the terms that at least ``min_rows`` of them (three, of small samples) hold and
 whose count among the toxic ones is off the expected one by ``min_z`` deviations.
 
 Defined results: null and empty texts get the machine's bias as score; if no
@@ -69,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = SAMPL
     bad = np.bincount(np.concatenate([s for s, t in zip(sets, y) if t] or [np.zeros(0, np.uint32)]), minlength=1 << BITS)
     rate = y.mean()
     z = (bad - seen * rate) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
-    kept = np.flatnonzero((seen >= min(min_rows, max(1, len(rows) // 20))) & (np.abs(z) >= min_z))
+    kept = np.flatnonzero((seen >= min(min_rows, max(3, len(rows) // 400), max(1, len(rows) // 20))) & (np.abs(z) >= min_z))
     slot = np.full(1 << BITS, -1, np.int32)
     slot[kept] = np.arange(len(kept))
     sets = [s[s >= 0] for s in (slot[s] for s in sets)]
@@ -84,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = SAMPL
     pos = max(y.sum(), 1)
     weight = np.where(y == 1, np.sqrt(max(1.0, (len(y) - pos) / pos)), 1.0)
     step = 0
-    epochs = max(epochs, -(-400 * 256 // len(y)))  # few rows are gone over more often
+    epochs = max(epochs, -(-1200 * 256 // len(y)))  # few rows are gone over more often
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(order), 256):
