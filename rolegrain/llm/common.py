@@ -183,8 +183,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.
     return sh, np.searchsorted(sd, np.arange(n_docs + 1))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows, so that a worker holds few long texts at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # long texts: batches stay small
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -209,15 +214,6 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
-    """A broadcast hint behind a check of the row count; else the planner's choice."""
-    return F.broadcast(df) if rows <= limit else df
-
-
-def local_path(uri: str) -> str:
-    return uri[len("file://") :] if uri.startswith("file://") else uri
-
-
 def one_thread() -> None:
     """Arithmetic libraries in a Python worker keep to the task's own core."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS", "RAYON_NUM_THREADS"):

@@ -189,6 +189,7 @@ def _across(least: int):
 def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     least = least_agreement(percent)
     signed = common.cut(spark, docs.mapInArrow(_sign, "doc_id long, n_shingles long, f1 long, f2 long, sig binary"))

@@ -6,8 +6,8 @@ triangle inequality prunes. Pivots split the space; a pass over the data gives
 each cell's smallest distances, k and one for each row of a query's own id. Queries form groups by
 their nearest pivot; from the summaries each group gets a distance within
 which every query has k neighbours. A vector is replicated only to groups that
-it may serve. Each group is solved in salted parts of bounded size, by blocks
-of queries, and the parts' best are merged.
+it may serve. Each group is solved in salted parts of data and blocks
+of queries of bounded size, and the parts' best are merged.
 
 Defined results: vectors that are null, or hold a null or non-finite
 component, take no part; shorter ones are filled with zeros; a null vec_id
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PIVOTS, TOP, PART_ROWS, QUERY_BLOCK = 16, 5, 20_000, 128
+#: Queries of a group that one task answers; more are more blocks.
+PART_QUERIES = 50_000
 
 
 def _vectors(vectors: DataFrame) -> DataFrame:
@@ -112,8 +114,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = TOP, pivots: int = PIVOT
 
     shape = "g int, vec_id long, v array<bigint>"
     salts = max(1, -(-n // PART_ROWS))
-    near = data.mapInArrow(route, shape).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
+    blocks = max(1, -(-data.where(F.col("vec_id") % every == 0).count() // PART_QUERIES))
+    near = data.mapInArrow(route, shape).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
     asked = data.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(group, shape)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
     asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def solve(queries: pa.Table, part: pa.Table) -> pa.Table:
@@ -138,6 +142,6 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = TOP, pivots: int = PIVOT
                     out[2].append(row[c].astype(np.int64))
         return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
-    found = asked.groupBy("g", "salt").cogroup(near.groupBy("g", "salt")).applyInArrow(solve, "query_id long, vec_id long, score long")
+    found = asked.groupBy("g", "salt", "block").cogroup(near.groupBy("g", "salt", "block")).applyInArrow(solve, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -19,13 +19,13 @@ table gives no segment. Extra columns are ignored.
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,19 +156,20 @@ _MANIFEST = "file string, at long, size long, first long, n_docs long, n_ids lon
 def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
     """Writes docs(doc_id, text) to ``folder`` (shared by all executors) and returns the manifest."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first())
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("text"), "text")
-    own = common.local_path(folder)
 
     def run(batches):
+        files, own = fs.FileSystem.from_uri(folder)
         enc = tokens.encoder(path)
         context = TaskContext.get()
         part = context.partitionId()
         name = f"part-{part:06d}-{context.attemptNumber()}-{uuid.uuid4().hex}.ids"
-        os.makedirs(own, exist_ok=True)
+        files.create_dir(own, recursive=True)
         rows, keys, held, size, at = [], [], [], 0, 0
-        out = open(f"{own}/{name}.tmp", "wb")
+        out = files.open_output_stream(f"{own}/{name}.tmp")
 
         def flush():
             nonlocal keys, held, size, at
@@ -190,13 +191,11 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, partiti
                         if size >= SEGMENT_IDS:
                             flush()
             flush()
-            out.flush()
-            os.fsync(out.fileno())
         if rows:
-            os.rename(f"{own}/{name}.tmp", f"{own}/{name}")
+            files.move(f"{own}/{name}.tmp", f"{own}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=[x.split()[0] for x in _MANIFEST.split(", ")])
         else:
-            os.remove(f"{own}/{name}.tmp")
+            files.delete_file(f"{own}/{name}.tmp")
 
     return common.cut(spark, ranged.mapInArrow(run, _MANIFEST))
 
@@ -210,14 +209,13 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     for r in rows:
         plan.append((r.file, r.at, r.size, begin))
         begin += r.n_ids
-    own = common.local_path(folder)
 
     def run(batches):
+        files, own = fs.FileSystem.from_uri(folder)
         for b in batches:
             for file, at, size, begin in zip(*(c.to_pylist() for c in b.columns)):
-                with open(f"{own}/{file}", "rb") as f:
-                    f.seek(at)
-                    raw = f.read(size)
+                with files.open_input_file(f"{own}/{file}") as f:
+                    raw = f.read_at(size, at)
                 keys, lengths, ids = read_segment(raw)
                 ends = np.cumsum(lengths)
                 begins = ends - lengths
@@ -233,6 +231,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
-    """Writes the file and reads it back."""
-    folder = f"{common.shared_folder(docs.sparkSession)}/token-ids-{uuid.uuid4().hex}"
+    """Writes the files to the shared folder and reads them back."""
+    shared = common.shared_folder(docs.sparkSession)
+    folder = f"{shared if '://' in shared else 'file://' + shared}/token-ids-{uuid.uuid4().hex}"
     return read(write(docs, folder, path), folder)

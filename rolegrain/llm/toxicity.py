@@ -84,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = SAMPL
     pos = max(y.sum(), 1)
     weight = np.where(y == 1, np.sqrt(max(1.0, (len(y) - pos) / pos)), 1.0)
     step = 0
-    epochs = max(epochs, -(-1200 * 256 // len(y)))  # few rows are gone over more often
+    epochs = max(epochs, -(-600 * 256 // len(y)))  # few rows are gone over more often
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(order), 256):
