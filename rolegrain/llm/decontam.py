@@ -1,17 +1,14 @@
-"""Benchmark passages in documents, by CGK embedding and bit sampling (operator 2).
+"""Benchmark passages in documents, by q-gram windows and exact edit distance (operator 2).
 
 A passage matches an item if some stretch of the text is within
 ``max_rate`` x (item's bytes) edits of it; both are compared as ASCII-lower-case
-UTF-8. Item-sized windows are opened where a diagonal band of the text holds as
+UTF-8. Windows are opened where a diagonal band of the text holds as
 many of the item's 8-byte grams as that edit distance must leave (the q-gram
-lemma, so no match is lost; at least one). A window and its item are embedded
-by CGK random walks: at each step a walk writes the byte it stands on and
-moves on if a shared random bit of (step, byte) says so, which turns edit
-distance into Hamming distance. ``WALKS`` independent walks with ``SAMPLED``
-sampled places each are the repeated bit sampling: a window is a candidate if
-the samples of any walk agree. With half of the places differing, a match is
-missed with probability (1 - 0.5**3)**64 = 2e-4. Candidates are confirmed by the exact
-edit distance (Myers' bit vectors) of the item to any stretch near the window.
+lemma, so no match is lost; at least one). Every window is decided by the exact
+edit distance (Myers' bit vectors) of the item to any stretch near it, so
+insertions and deletions are found like substitutions. CGK walks with bit
+sampling decided before; they lose step after insertions and deletions, lost
+matches and took longer than the distances they spared.
 
 The items are broadcast in groups of at most ``GROUP_BYTES``; more items are
 more passes over the documents.
@@ -31,11 +28,9 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_RATE, MIN_BYTES = 0.1, 24
-WALKS, SAMPLED = 64, 3
 GROUP_BYTES = 1 << 20
 _Q = 8
 _FILTER_BITS = 22
-_STEPS = 1024
 
 
 def _grams(low: np.ndarray) -> np.ndarray:
@@ -71,34 +66,9 @@ class Items:
         self.gram, self.item, self.place = g[order], item[order], place[order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[_slot(self.gram)] = True
-        rng = np.random.default_rng(17)
-        self.coin = rng.integers(0, 2, (WALKS, _STEPS, 256), dtype=np.uint8)
-        self.sampled = np.sort(rng.random((WALKS, SAMPLED)), axis=1)  # places, as shares of twice an item's size
-        self.samples = self.embed(self.low, np.arange(len(rows)))
-
-    def embed(self, windows: list[np.ndarray], item: np.ndarray) -> np.ndarray:
-        """Windows x walks x samples: the bytes that the walks write at the sampled steps."""
-        n = len(windows)
-        longest = int(self.size[item].max())
-        text = np.zeros((n, longest + 1), np.uint8)
-        for i, w in enumerate(windows):
-            w = w[: self.size[item[i]]]
-            text[i, : len(w)] = w
-        end = np.minimum(self.size[item], longest)[:, None]
-        at = np.zeros((n, WALKS), np.int64)
-        steps = (self.sampled[None] * (2 * self.size[item])[:, None, None]).astype(np.int64)
-        out = np.zeros((n, WALKS, SAMPLED), np.uint8)
-        rows, walks = np.arange(n)[:, None], np.arange(WALKS)[None]
-        for j in range(int(steps.max()) + 1):
-            byte = text[rows, np.minimum(at, end)]
-            due = steps == j
-            if due.any():
-                out = np.where(due, byte[:, :, None], out)
-            at += self.coin[walks, j % _STEPS, byte]
-        return out
 
     def windows(self, low: np.ndarray, offsets: np.ndarray):
-        """(document, item, first byte) of the windows to embed."""
+        """(document, item, first byte) of the windows to verify."""
         g = _grams(low)
         none = np.zeros(0, np.int64)
         hit = np.flatnonzero(self.filter[_slot(g)])
@@ -139,18 +109,14 @@ class Items:
         low = common.LOWER[data]
         doc, item, begin = self.windows(low, offsets)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for at in range(0, len(doc), 256):
-            d, i, s = doc[at : at + 256], item[at : at + 256], begin[at : at + 256]
-            parts = [low[max(a, offsets[x]) : min(a + self.size[y], offsets[x + 1])] for x, y, a in zip(d, i, s)]
-            alike = (self.embed(parts, i) == self.samples[i]).all(2).any(1)
-            for x, y, a in zip(d[alike].tolist(), i[alike].tolist(), s[alike].tolist()):
-                room = 2 * self.band
-                lo, hi = max(a - room, int(offsets[x])), min(a + int(self.size[y]) + room, int(offsets[x + 1]))
-                got = nearest(self.raw[y], low[lo:hi].tobytes(), int(self.edits[y]))
-                if got is not None:
-                    edits, i0, i1 = got
-                    new = (edits, lo + i0 - int(offsets[x]), lo + i1 - int(offsets[x]))
-                    best[x, y] = min(best.get((x, y), new), new)
+        room = 2 * self.band  # a match and the middle of its band are less than a band's width apart
+        for x, y, a in zip(doc.tolist(), item.tolist(), begin.tolist()):
+            lo, hi = max(a - room, int(offsets[x])), min(a + int(self.size[y]) + room, int(offsets[x + 1]))
+            got = nearest(self.raw[y], low[lo:hi].tobytes(), int(self.edits[y]))
+            if got is not None:
+                edits, i0, i1 = got
+                new = (edits, lo + i0 - int(offsets[x]), lo + i1 - int(offsets[x]))
+                best[x, y] = min(best.get((x, y), new), new)
         return [(x, y, i0, i1, e) for (x, y), (e, i0, i1) in sorted(best.items())]
 
 

@@ -204,6 +204,28 @@ def test_decontamination_by_brute_force(spark, edge, nothing):
     assert decontam.find(nothing, bench).count() == 0 and decontam.find(docs, bench.where("item_id < 0")).count() == 0
 
 
+def test_decontamination_with_insertions_and_deletions():
+    """Passages with as many scattered insertions, deletions or both as an item allows are all found."""
+    r = random.Random(8)
+    items = [(i, prose(300 + i, n).encode()) for i, n in enumerate((14, 30, 45, 70))]
+    own = decontam.Items(items, 0.1)
+    for kind in ("insert", "delete", "mixed"):
+        texts, want = [], []
+        for n in range(80):
+            i, raw = items[n % 4]
+            s = list(raw.decode())
+            for k in range(int(len(raw) * 0.1)):
+                if kind == "insert" or (kind == "mixed" and k % 2):
+                    s.insert(r.randrange(len(s)), r.choice("qzj "))
+                else:
+                    del s[r.randrange(len(s))]
+            texts.append(f"{prose(n, 20)} {''.join(s)} {prose(600 + n, 20)}".encode())
+            want.append((n, i))
+        offsets = np.cumsum([0, *map(len, texts)])
+        got = own.matches(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        assert [g[:2] for g in got] == want and all(e <= own.edits[i] for _, i, _, _, e in got), kind
+
+
 def test_html(spark):
     page = """<html><body class="has-sidebar"><header><h1>Site</h1></header><div class="cookie-notice">We use</div><div><div class="sidebar">side</div>
     <article><header><h1>Title &amp; x</h1></header><p>Para <b>bo</b>ld one. <p>Two&nbsp;x &#233;<ul><li>a<li>b</ul><script>var a = "</p>";</script><div class="share">tweet</div>
