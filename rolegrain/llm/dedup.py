@@ -8,8 +8,8 @@ longest common prefixes. Each text and its predecessor are candidates; those
 whose signatures agree too little to reach the threshold are dropped (more
 than five deviations below), the rest are confirmed on the full sets: first one candidate per text (a forest),
 then those that still join different components. A region that still holds
-several components is compared across them, at the depth of one block, or of
-two where it is dense. A pair at the threshold misses all regions with
+several components is compared across them whole, in tiles where it is dense.
+A pair at the threshold misses all regions with
 probability (1 - 0.85**5)**25 < 1e-6.
 
 Texts with equal sets are one class and enter by its smallest doc_id. Only
@@ -35,8 +35,8 @@ from .components import components
 
 HASHES, DEPTH, ORDERS = 128, 5, 25
 PERCENT = 85
-#: A region beyond so many texts is compared at twice the depth.
-DENSE = 3000
+#: A region beyond so many texts is compared tile by tile of so many; results don't depend on it.
+DENSE = 8000
 _BITMAP_BITS = 24
 
 _rng = np.random.default_rng(5)
@@ -82,7 +82,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _orders(batches):
-    """25 rows a text: order, first block of minima, next block."""
+    """25 rows a text: order, first block of minima, next block (it sorts the region)."""
     for b in batches:
         s = (_matrix(b.column(2)) & 0xFFF).astype(np.int64)
         n = len(s)
@@ -167,25 +167,44 @@ def confirm(docs: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(least: int):
-    """Candidates between components inside a region, by signature, block against block."""
+    """Candidates between components of two tiles of a region (or inside one), by signature."""
 
     def run(t: pa.Table) -> pa.Table:
-        rep, comp = t.column("rep").to_numpy(), t.column("comp").to_numpy()
+        t = t.sort_by([("comp", "ascending"), ("rep", "ascending")])
+        rep, comp, tile = t.column("rep").to_numpy(), t.column("comp").to_numpy(), t.column("tile").to_numpy()
         s = _matrix(t.column("sig").combine_chunks())
-        out_a, out_b, out_s = [], [], []
-        for i in range(0, len(s), 64):
-            same = np.zeros((min(64, len(s) - i), len(s)), np.int16)
+        left, right = np.flatnonzero(tile == t.column("x")[0].as_py()), np.flatnonzero(tile == t.column("y")[0].as_py())
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        across = np.ascontiguousarray(s[right].T)
+        for i in range(0, len(left), 64):
+            own = left[i : i + 64]
+            at = np.searchsorted(comp[right], comp[own[0]], side="right")  # components rise, so earlier ones have had their turn
+            same = np.zeros((len(own), len(right) - at), np.int16)
             for k in range(HASHES):
-                same += s[i : i + 64, k][:, None] == s[:, k][None, :]
-            x, y = np.nonzero((same >= least) & (comp[i : i + 64][:, None] < comp[None, :]))
-            out_a.append(np.minimum(rep[i + x], rep[y]))
-            out_b.append(np.maximum(rep[i + x], rep[y]))
-            out_s.append(same[x, y].astype(np.int32))
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "same": np.concatenate(out_s)})
+                same += s[own, k][:, None] == across[k, at:][None, :]
+            x, y = np.nonzero((same >= least) & (comp[own][:, None] < comp[right[at:]][None, :]))
+            x, y = rep[own[x]], rep[right[at + y]]
+            out_a.append(np.minimum(x, y))
+            out_b.append(np.maximum(x, y))
+        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     return run
 
 
+def _crossing(placed: DataFrame, sig: DataFrame, least: int) -> DataFrame:
+    """Candidates (a, b) between components of a region; placed(o, k1, rep, comp) in order of component, tile against tile."""
+    mixed = placed.groupBy("o", "k1").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("o", "k1")
+    rank = F.row_number().over(Window.partitionBy("o", "k1").orderBy("comp", "rep"))
+    tiled = placed.join(mixed, ["o", "k1"]).withColumn("tile", F.floor((rank - 1) / DENSE).cast("int"))
+    tiled = common.cut(placed.sparkSession, tiled.select("o", "k1", "tile", "rep", "comp"))
+    ends = tiled.groupBy("o", "k1", "tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    first, last = ends.select("o", "k1", F.col("tile").alias("x"), "c0"), ends.select("o", "k1", F.col("tile").alias("y"), "c1")
+    # tiles of one and the same component have nothing to compare
+    pairs = first.join(last, ["o", "k1"]).where("x <= y and c0 <> c1").select("o", "k1", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"))
+    both = tiled.join(pairs, ["o", "k1", "tile"]).join(sig, "rep").select("o", "k1", "x", "y", "tile", "rep", "comp", "sig")
+    return both.groupBy("o", "k1", "x", "y").applyInArrow(_across(least), "a long, b long").distinct()
+
+
 def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -223,9 +242,7 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         stars = components(held)
     # regions that still hold several components
     placed = rooted(forest, "rep", stars, "comp")
-    sizes = placed.groupBy("o", "k1").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("o", "k1", "m")
-    mixed = placed.join(sizes, ["o", "k1"]).join(sig, "rep").withColumn("deep", F.when(F.col("m") > DENSE, F.col("k2")).otherwise(F.lit(0)))
-    more = mixed.select("o", "k1", "deep", "rep", "comp", "sig").groupBy("o", "k1", "deep").applyInArrow(_across(least), "a long, b long, same int").select("a", "b").distinct()
+    more = _crossing(placed, sig, least)
     more = common.cut(spark, more.join(tested, ["a", "b"], "left_anti"))
     if common.has_rows(more):
         held = held.unionByName(confirm(docs, more, percent))

@@ -167,6 +167,23 @@ def test_dedup_chains_and_hot_groups(spark):
     assert [g.component_id for g in got] == up
 
 
+def test_dedup_in_dense_regions(spark, monkeypatch):
+    """However small the regions that count as dense, links just over the threshold are found."""
+    monkeypatch.setattr(dedup, "DENSE", 4)
+    r = random.Random(11)
+    texts = []
+    for g in range(60):
+        hot = [f"{w}{g}" for w in prose(700 + g, 200).split()]
+        texts.append(" ".join(hot))
+        for i in range(20):  # 181 of 211 shingles shared with the first, about 166 of 226 with each other
+            w = list(hot)
+            for k in (20, 90, 160):
+                w[k + r.randrange(-15, 16)] = f"x{g}y{i}z{k}"
+            texts.append(" ".join(w))
+    got = dedup.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == 60 * 21 and [x.doc_id for x in got if x.component_id != x.doc_id // 21 * 21] == []
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(1, 400).select((F.col("id") - 1).alias("a"), F.col("id").alias("b")).repartition(7)
     assert components(edges).where("root <> 0").count() == 0 and components(edges).count() == 399
