@@ -298,6 +298,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(toxic & steps[1]) <= 0.2 * len(toxic) and len(steps[0] - steps[1] - toxic) < 0.15 * len(before)
 
 
+def test_pipeline_drops_near_copies_of_80_percent(spark):
+    """One word replaced of 55: 46 of 56 shingles shared, 0.82. Two replaced: 41 of 61, which stays."""
+    w = prose(41, 55).split()
+    one, two = [*w[:27], "another", *w[28:]], [*w[:15], "another", *w[16:40], "word", *w[41:]]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(one)), (3, " ".join(two))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs.where("doc_id <= 2"), SF).collect()} == {1}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs.where("doc_id <> 2"), SF).collect()} == {1, 3}
+
+
 def test_pipeline_on_nothing(spark, nothing):
     seen = nothing
     for _, f in corpus_pipeline.STAGES:
