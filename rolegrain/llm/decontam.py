@@ -3,8 +3,9 @@
 A passage matches an item if some stretch of the text is within
 ``max_rate`` x (item's bytes) edits of it; both are compared as ASCII-lower-case
 UTF-8. Windows are opened where a diagonal band of the text holds as
-many of the item's 8-byte grams as that edit distance must leave (the q-gram
-lemma, so no match is lost; at least one). Every window is decided by the exact
+many of the item's grams as that edit distance must leave (the q-gram
+lemma, so no match is lost); grams are of 8 bytes, or shorter where the lemma
+would leave less than one. Every window is decided by the exact
 edit distance (Myers' bit vectors) of the item to any stretch near it, so
 insertions and deletions are found like substitutions. CGK walks with bit
 sampling decided before; they lose step after insertions and deletions, lost
@@ -14,7 +15,7 @@ The items are broadcast in groups of at most ``GROUP_BYTES``; more items are
 more passes over the documents.
 
 Defined results: null and empty texts hold nothing; items of fewer than
-``min_bytes`` bytes or null are not searched for; equal items each match;
+``min_bytes`` bytes are searched for without edits, empty and null ones not at all; equal items each match;
 repeated rows match each for itself. Extra columns are ignored.
 """
 
@@ -33,14 +34,23 @@ _Q = 8
 _FILTER_BITS = 22
 
 
-def _grams(low: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place as one integer."""
-    a = low.astype(np.uint64)
-    if len(a) < _Q:
+def _grams(low: np.ndarray, q: int = _Q) -> np.ndarray:
+    """The q (at most 8) bytes from each place as one integer."""
+    if len(low) < q:
         return np.zeros(0, np.uint64)
+    a = np.append(low, np.zeros(_Q - q, np.uint8)).astype(np.uint64)
     b = a[:-1] | (a[1:] << np.uint64(8))
     c = b[:-2] | (b[2:] << np.uint64(16))
-    return c[:-4] | (c[4:] << np.uint64(32))
+    return (c[:-4] | (c[4:] << np.uint64(32))) & np.uint64((1 << 8 * q) - 1)
+
+
+def _edits(size, max_rate: float, min_bytes: int):
+    return np.where(size < min_bytes, 0, np.floor(size * max_rate)).astype(int)
+
+
+def _gram_bytes(size, edits):
+    """The longest grams of which the edits leave at least one: size - q + 1 - q * edits >= 1."""
+    return np.clip(size // (edits + 1), 1, _Q)
 
 
 def _slot(g: np.ndarray) -> np.ndarray:
@@ -50,15 +60,16 @@ def _slot(g: np.ndarray) -> np.ndarray:
 class Items:
     """A bounded group of benchmark items, ready to be searched for."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], max_rate: float):
+    def __init__(self, rows: list[tuple[int, bytes]], max_rate: float, min_bytes: int = MIN_BYTES):
         self.ids = [i for i, _ in rows]
         self.low = [common.LOWER[np.frombuffer(t, np.uint8)] for _, t in rows]
         self.raw = [x.tobytes() for x in self.low]
         self.size = np.array([len(x) for x in self.low])
-        self.edits = np.floor(self.size * max_rate).astype(int)
-        self.least = np.maximum(1, self.size - _Q + 1 - _Q * self.edits)
+        self.edits = _edits(self.size, max_rate, min_bytes)
+        self.q = int(_gram_bytes(self.size, self.edits).min())
+        self.least = np.maximum(1, self.size - self.q + 1 - self.q * self.edits)
         self.band = int(max(64, self.edits.max() if len(rows) else 0))
-        grams = [_grams(x) for x in self.low]
+        grams = [_grams(x, self.q) for x in self.low]
         g = np.concatenate(grams)
         item = np.repeat(np.arange(len(rows)), [len(x) for x in grams])
         place = np.concatenate([np.arange(len(x)) for x in grams])
@@ -69,7 +80,7 @@ class Items:
 
     def windows(self, low: np.ndarray, offsets: np.ndarray):
         """(document, item, first byte) of the windows to verify."""
-        g = _grams(low)
+        g = _grams(low, self.q)
         none = np.zeros(0, np.int64)
         hit = np.flatnonzero(self.filter[_slot(g)])
         left = np.searchsorted(self.gram, g[hit])
@@ -80,7 +91,7 @@ class Items:
         entry = np.repeat(left - np.concatenate([[0], np.cumsum(times)])[:-1], times) + np.arange(times.sum())
         at = np.repeat(hit, times)
         doc = np.searchsorted(offsets, at, side="right") - 1
-        inside = at + _Q <= offsets[doc + 1]
+        inside = at + self.q <= offsets[doc + 1]
         entry, at, doc = entry[inside], at[inside], doc[inside]
         item, begin = self.item[entry], at - self.place[entry]
         found = []
@@ -161,18 +172,21 @@ def nearest(pattern: bytes, text: bytes, most: int) -> tuple[int, int, int] | No
 
 
 def _groups(items: DataFrame, max_rate: float, min_bytes: int):
-    """Item groups of bounded size, read one after the other."""
-    rows, size = [], 0
-    known = items.where("text is not null and item_id is not null").select("item_id", "text").where(F.octet_length("text") >= min_bytes)
+    """Item groups of bounded size and one length of grams, read one after the other."""
+    rows: dict[int, list] = {}
+    size: dict[int, int] = {}
+    known = items.where("text is not null and item_id is not null").select("item_id", "text").where(F.octet_length("text") > 0)
     for r in known.orderBy("item_id", "text").toLocalIterator():
         raw = r.text.encode()
-        if rows and size + len(raw) > GROUP_BYTES:
-            yield Items(rows, max_rate)
-            rows, size = [], 0
-        rows.append((r.item_id, raw))
-        size += len(raw)
-    if rows:
-        yield Items(rows, max_rate)
+        q = int(_gram_bytes(len(raw), _edits(len(raw), max_rate, min_bytes)))
+        if q in rows and size[q] + len(raw) > GROUP_BYTES:
+            yield Items(rows.pop(q), max_rate, min_bytes)
+        if q not in rows:
+            rows[q], size[q] = [], 0
+        rows[q].append((r.item_id, raw))
+        size[q] += len(raw)
+    for own in rows.values():
+        yield Items(own, max_rate, min_bytes)
 
 
 def find(docs: DataFrame, items: DataFrame, max_rate: float = MAX_RATE, min_bytes: int = MIN_BYTES) -> DataFrame:

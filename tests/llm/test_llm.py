@@ -243,6 +243,21 @@ def test_decontamination_with_insertions_and_deletions():
         assert [g[:2] for g in got] == want and all(e <= own.edits[i] for _, i, _, _, e in got), kind
 
 
+def test_decontamination_of_short_items(spark):
+    """30 and 31 bytes with three spread edits; items under 24 bytes exactly."""
+    items = [(0, "green river stone under bridge"), (1, "winter garden letter and papers"), (2, "Paris, France"), (3, "blue"), (4, "")]
+    assert [len(t) for _, t in items[:2]] == [30, 31]
+    spread = ["".join("z" if k in (7, 15, 23) else c for k, c in enumerate(t)) for _, t in items[:2]]  # no 8 bytes in a row are left
+    texts = [f"a b {spread[0]} c", f"a {spread[1]} d", "in paris, france it is", "in paris,france it is", "a blue one", "a blu one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((x.doc_id, x.item_id, x.edits) for x in decontam.find(docs, bench).collect())
+    raw = [(i, t.encode()) for i, t in items if t]
+    want = [(n, i, brute_edits(u.lower(), t.encode())) for n, t in enumerate(texts) for i, u in raw]
+    assert got == [w for w in want if w[2] <= (3 if w[1] < 2 else 0)] and len(got) == 4
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {3, 5}
+
+
 def test_html(spark):
     page = """<html><body class="has-sidebar"><header><h1>Site</h1></header><div class="cookie-notice">We use</div><div><div class="sidebar">side</div>
     <article><header><h1>Title &amp; x</h1></header><p>Para <b>bo</b>ld one. <p>Two&nbsp;x &#233;<ul><li>a<li>b</ul><script>var a = "</p>";</script><div class="share">tweet</div>
