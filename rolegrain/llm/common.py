@@ -8,6 +8,7 @@ shingles are computed for a whole slice of documents by numpy.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
@@ -20,29 +21,9 @@ from pyspark.sql import functions as F
 #: Bytes of text handled by one numpy pass; a longer document is a pass of its own.
 SLICE_BYTES = 1 << 19
 
-_P = 0x9E3779B97F4A7C15 | 1
 _U64 = np.uint64
 
 
-def _inverse(a: int) -> int:
-    return pow(a, -1, 1 << 64)
-
-
-_POW = np.ones(1, _U64)
-_INV = np.ones(1, _U64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("_POW", _P), ("_INV", _inverse(_P))):
-            steps = np.full(size, base, _U64)
-            steps[0] = 1
-            globals()[name] = np.cumprod(steps, dtype=_U64)
-    return _POW, _INV
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""
     x = x.astype(_U64, copy=True)
@@ -132,13 +113,61 @@ def class_words(data, offsets, blank, kind) -> Spans:
     return Spans(at[:-1][keep], at[1:][keep], offsets)
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, equal for equal bytes wherever they stand."""
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, _U64)
-    np.cumsum((data.astype(_U64) + _U64(1)) * power[: len(data)], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
-    return mix64(h + (end - start).astype(_U64) * _U64(0xD6E8FEB86659FD93))
+#: Spans of more bytes are hashed one by one.
+_LONG = 64
+#: Masks that keep the first k bytes of a little-endian word.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], _U64)
+_EIGHTHS = [_U64(0x9FB21C651E98DF25 * (2 * k + 1) & ((1 << 64) - 1)) for k in range(_LONG // 8)]
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one little-endian integer; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span, equal for equal bytes wherever they stand.
+
+    Blocks of eight bytes are mixed one after another (nothing is linear in the
+    text); long spans are digested whole. Equal hashes aren't proof: callers
+    that need proof compare bytes (``interned``, the token table).
+    """
+    size = end - start
+    h = size.astype(_U64) * _U64(0xD6E8FEB86659FD93)
+    if not len(h):
+        return h
+    words = eights(data) if words is None else words
+    short = size <= _LONG
+    live = np.flatnonzero(short) if not short.all() else slice(None)
+    for k in range(-(-int(size[live].max(initial=0)) // 8)):
+        if k:
+            live = np.flatnonzero(short & (size > 8 * k))
+        block = words[start[live] + 8 * k] & _HEAD[np.minimum(size[live] - 8 * k, 8)]
+        h[live] = mix64((h[live] ^ block) + _EIGHTHS[k])
+    for i in np.flatnonzero(~short):
+        h[i] = _U64(int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little"))
+    return h
+
+
+def interned(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each span, equal exactly if the bytes are: hashes find candidates, bytes decide."""
+    h = span_hashes(data, start, end)
+    _, first, ids = np.unique(h, return_index=True, return_inverse=True)
+    size, own = end - start, first[ids]
+    words = eights(data)
+    differ = size != size[own]
+    for k in range(-(-min(int(size.max(initial=0)), _LONG) // 8)):
+        live = np.flatnonzero(~differ & (size > 8 * k) & (size <= _LONG))
+        head = _HEAD[np.minimum(size[live] - 8 * k, 8)]
+        differ[live] = (words[start[live] + 8 * k] & head) != (words[start[own[live]] + 8 * k] & head)
+    for i in np.flatnonzero(~differ & (size > _LONG)):
+        differ[i] = data[start[i] : end[i]].tobytes() != data[start[own[i]] : end[own[i]]].tobytes()
+    if differ.any():  # unlike spans with one hash
+        seen: dict[bytes, int] = {}
+        for i in np.flatnonzero(differ):
+            ids[i] = seen.setdefault(data[start[i] : end[i]].tobytes(), len(first) + len(seen))
+    return ids
 
 
 _SHINGLE = [_U64(x | 1) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
@@ -175,21 +204,38 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.
             extra[has] = extra[has] * _U64(0x9FB21C651E98DF25) + h[at] * _SHINGLE[j % 5]
         extra = mix64(extra + words.count[short].astype(_U64) * _U64(0xC2B2AE3D27D4EB4F))
         sh, sd = np.concatenate([sh, extra]), np.concatenate([sd, short])
-    order = np.lexsort((sh, sd))
-    sh, sd = sh[order], sd[order]
-    new = np.ones(len(sh), bool)
-    new[1:] = (sh[1:] != sh[:-1]) | (sd[1:] != sd[:-1])
-    sh, sd = sh[new], sd[new]
-    return sh, np.searchsorted(sd, np.arange(n_docs + 1))
+    return _by_document(sh, sd, n_docs)
+
+
+def _by_document(value: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each document, sorted, and their offsets."""
+    order = np.lexsort((value, doc))
+    value, doc = value[order], doc[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+    value, doc = value[new], doc[new]
+    return value, np.searchsorted(doc, np.arange(n_docs + 1))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1000 rows, so that a worker holds few long texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+def exact_shingles(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Like shingle_sets, but numbers that are equal exactly if the words are (inside this call)."""
+    low = LOWER[data]
+    words = space_words(low, offsets)
+    n_docs = len(offsets) - 1
+    if not len(words.start):
+        return np.zeros(0, np.int64), np.zeros(n_docs + 1, np.int64)
+    ids = interned(low, words.start, words.end)
+    first = np.concatenate([words.first[d] + np.arange(max(1, words.count[d] - k + 1)) for d in np.flatnonzero(words.count)])
+    doc = words.doc[first]
+    value = ids[first]
+    for j in range(1, k):  # pairs of numbers become numbers
+        has = j < words.count[doc]
+        after = np.where(has, ids[np.minimum(first + j, len(ids) - 1)] + 1, 0)
+        _, value = np.unique(value.astype(np.int64) * (len(ids) + int(ids.max()) + 2) + after, return_inverse=True)
+    return _by_document(value, doc, n_docs)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -198,9 +244,11 @@ def has_rows(df: DataFrame) -> bool:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one if unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session (tests) may do without."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="rolegrain-")
         spark.conf.set("spark.checkpoint.dir", got)
     if not spark.sparkContext.getCheckpointDir():
@@ -214,6 +262,25 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys with at least this part of all rows are hot; there can't be more of them than its inverse.
+HOT = 1000
+
+
+def hot_left(frame: DataFrame, column: str, unique: DataFrame, key: str, rows: int) -> DataFrame:
+    """frame (cut, of ``rows`` rows) left join unique (one row a key) on column = key.
+
+    Hot keys, at most HOT of them, are looked up by broadcast, so that no task gets
+    one's rows; all others meet by a shuffle.
+    """
+    hot = frame.groupBy(F.col(column).alias("__hot")).count().where(F.col("count") * HOT >= max(rows, HOT)).select("__hot")
+    hot = F.broadcast(cut(frame.sparkSession, hot))
+    marked = frame.join(hot, F.col(column) == F.col("__hot"), "left")
+    few = unique.join(hot, F.col(key) == F.col("__hot"), "left_semi")
+    often = marked.where("__hot is not null").join(F.broadcast(few), F.col(column) == F.col(key), "left")
+    rest = marked.where(F.col("__hot").isNull() & F.col(column).isNotNull()).join(unique, F.col(column) == F.col(key), "left")
+    return often.unionByName(rest).drop("__hot").unionByName(frame.where(F.col(column).isNull()), allowMissingColumns=True)
+
+
 def one_thread() -> None:
     """Arithmetic libraries in a Python worker keep to the task's own core."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS", "RAYON_NUM_THREADS"):

@@ -1,10 +1,11 @@
 """Connected components of an edge table, with bounded state per task.
 
-Each pass runs union-find inside every partition (its size is the partition's,
-whatever the degree of a vertex) and replaces the edges by stars to the smallest
-vertex seen. Passes alternate between hashing by vertex and by root until every
-vertex has one root and no root has another. Nothing goes to the driver but
-two counts a pass.
+Union-find inside every partition turns edges into stars (its size is the
+partition's, whatever the degree of a vertex). A partial minimum gives each
+vertex its smallest root; roots that share a vertex, or are vertices
+themselves, are linked, and the much smaller graph of roots is solved the same
+way, by one task once its links are few. No task holds a component, and
+nothing goes to the driver but counts.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: So few links are one task's work.
+LAST_LINKS = 200_000
+_SHAPE = "v long, root long"
+
 
 def _stars(batches):
     up: dict[int, int] = {}
@@ -39,14 +44,28 @@ def _stars(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["v", "root"])
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def attach(frame: DataFrame, column: str, stars: DataFrame, name: str) -> DataFrame:
+    """frame with ``name``: the root of the vertex in ``column``, or that vertex itself."""
+    s = stars.select(F.col("v").alias("__v"), F.col("root").alias("__root"))
+    return frame.join(s, F.col(column) == F.col("__v"), "left").withColumn(name, F.coalesce("__root", column)).drop("__v", "__root")
+
+
+def components(edges: DataFrame, last_links: int = LAST_LINKS) -> DataFrame:
     """(v, root) for every vertex of edges(a, b) that isn't itself the smallest of its component."""
     spark = edges.sparkSession
-    stars = common.cut(spark, edges.select(F.col("a").alias("v"), F.col("b").alias("root")).mapInArrow(_stars, "v long, root long"))
-    for i in range(limit):
-        by = "v" if i % 2 == 0 else "root"
-        stars = common.cut(spark, stars.repartition(by).mapInArrow(_stars, "v long, root long").distinct())
-        twice = stars.groupBy("v").count().where("count > 1").limit(1).count()
-        if not twice and not stars.select(F.col("root").alias("v")).join(stars, "v", "left_semi").limit(1).count():
-            return stars
-    raise RuntimeError("components didn't settle")
+    pairs = edges.select(F.col("a").cast("long").alias("v"), F.col("b").cast("long").alias("root"))
+    stars = common.cut(spark, pairs.mapInArrow(_stars, _SHAPE))
+    low = common.cut(spark, stars.groupBy("v").agg(F.min("root").alias("root")))
+    over = stars.join(low.withColumnRenamed("root", "low"), "v").where("root <> low").select(F.col("root").alias("a"), F.col("low").alias("b"))
+    chains = stars.select(F.col("root").alias("v")).distinct().join(low, "v").select(F.col("v").alias("a"), F.col("root").alias("b"))
+    links = common.cut(spark, over.unionByName(chains).distinct())
+    n = links.count()
+    if not n:
+        return low
+    if n <= last_links:
+        top = common.cut(spark, links.coalesce(1).mapInArrow(_stars, _SHAPE))
+    else:
+        top = components(links, last_links)
+    to = top.select(F.col("v").alias("old"), F.col("root").alias("top"))
+    moved = common.hot_left(low, "root", to, "old", low.count()).select("v", F.coalesce("top", "root").alias("root"))
+    return common.cut(spark, moved.unionByName(top).distinct())

@@ -36,12 +36,7 @@ _FILTER_BITS = 22
 
 def _grams(low: np.ndarray, q: int = _Q) -> np.ndarray:
     """The q (at most 8) bytes from each place as one integer."""
-    if len(low) < q:
-        return np.zeros(0, np.uint64)
-    a = np.append(low, np.zeros(_Q - q, np.uint8)).astype(np.uint64)
-    b = a[:-1] | (a[1:] << np.uint64(8))
-    c = b[:-2] | (b[2:] << np.uint64(16))
-    return (c[:-4] | (c[4:] << np.uint64(32))) & np.uint64((1 << 8 * q) - 1)
+    return common.eights(low)[: max(0, len(low) - q + 1)] & np.uint64((1 << 8 * q) - 1)
 
 
 def _edits(size, max_rate: float, min_bytes: int):

@@ -1,42 +1,47 @@
 """Near-duplicates by an LSH forest over MinHash signatures (operator 5).
 
-A text's set: distinct hashes of its 5-word shingles. Signatures of ``HASHES``
-minima are read in several sorted orders, each starting at its own block of
-``DEPTH`` minima. Texts with the same first block are a region of the order;
+A text's set: distinct 5-word shingles. Signatures of ``HASHES`` minima of
+their hashes are read in several sorted orders, each starting at its own block
+of ``DEPTH`` minima. Texts with the same first block are a region of the order;
 inside it they are sorted by the next minima, so that neighbours have the
-longest common prefixes. Each text and its predecessor are candidates; those
-whose signatures agree too little to reach the threshold are dropped (more
-than five deviations below), the rest are confirmed on the full sets: first one candidate per text (a forest),
-then those that still join different components. A region that still holds
-several components is compared across them whole, in tiles where it is dense.
-A pair at the threshold misses all regions with
-probability (1 - 0.85**5)**25 < 1e-6.
-
-Texts with equal sets are one class and enter by its smallest doc_id. Only
-texts of candidate pairs are shuffled, picked by a fixed-size bitmap.
+longest common prefixes. The orders are sorted as one range-partitioned table,
+so a hot region is spread over tasks. Each text and its predecessor are
+candidates; those whose signatures agree too little to reach the threshold are
+dropped (more than five deviations below), the rest are confirmed on the full
+sets, word by word: first one candidate per text (a forest), then those that
+still join different components. A region that still holds several components
+is compared across them whole, in tiles of ``TILE`` texts. A pair at the
+threshold misses all regions with probability (1 - 0.85**5)**25 < 1e-6.
+
+Texts with equal word sequences (by a 128-bit digest) are one class and enter
+by its smallest doc_id. Only texts of candidate pairs are shuffled, picked by a
+fixed-size bitmap.
 
 Defined results: null, empty and blank texts have an empty set and are linked
-with nothing; fewer than five words are one shingle; a null doc_id is linked
-with nothing, has a null component and is kept; rows that repeat a doc_id are
-one vertex. Extra columns are ignored.
+with nothing; fewer than five words are one shingle; very long texts are taken
+whole; a null doc_id is linked with nothing, has a null component and is kept;
+rows that repeat a doc_id are one vertex, with the links of all its rows, and
+each row has its own n_shingles. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import attach, components
 
 HASHES, DEPTH, ORDERS = 128, 5, 25
 PERCENT = 85
-#: A region beyond so many texts is compared tile by tile of so many; results don't depend on it.
-DENSE = 8000
+#: Texts that a task compares with as many others; results don't depend on it.
+TILE = 8000
 _BITMAP_BITS = 24
 
 _rng = np.random.default_rng(5)
@@ -61,20 +66,28 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def sequences(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A 16-byte digest of each document's lower-cased words, whatever the white space between them."""
+    low = common.LOWER[data]
+    space = common.IS_SPACE[low]
+    keep = ~space
+    keep[:-1] |= space[:-1] & ~space[1:]  # the last of the white space before a word
+    at = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    own = np.where(space, 0x20, low)[keep].astype(np.uint8)
+    return [hashlib.blake2b(own[i:j].tobytes().strip(b" "), digest_size=16).digest() for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 def _sign(batches):
     for b in batches:
         data, off = common.text_buffer(b.column(1))
-        cols = [[], [], [], []]
+        size, keys, sigs = [np.zeros(0, np.int64)], [], []
         for i, j in common.slices(off):
-            sets, so = common.shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            total = np.concatenate([[np.uint64(0)], np.cumsum(common.mix64(sets ^ np.uint64(0x1F83D9ABFB41BD6B)))])
-            again = np.concatenate([[np.uint64(0)], np.cumsum(common.mix64(sets ^ np.uint64(0x5BE0CD19137E2179)))])
-            cols[0].append(np.diff(so))
-            cols[1].append((total[so[1:]] - total[so[:-1]]).view(np.int64))
-            cols[2].append((again[so[1:]] - again[so[:-1]]).view(np.int64))
-            cols[3] += [r.tobytes() for r in signatures(sets, so)]
-        arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in cols[:3]]
-        yield pa.RecordBatch.from_arrays([b.column(0), *arrays, pa.array(cols[3], pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "sig"])
+            part, own = data[off[i] : off[j]], off[i : j + 1] - off[i]
+            sets, so = common.shingle_sets(part, own)
+            size.append(np.diff(so))
+            keys += sequences(part, own)
+            sigs += [r.tobytes() for r in signatures(sets, so)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(size), pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "key", "sig"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -97,6 +110,43 @@ def _orders(batches):
         )
 
 
+def _next_to(batches):
+    """Neighbours of one region in sorted rows, and the ends of the partition, to be joined with others'."""
+    part = TaskContext.get().partitionId()
+    last = None
+    names = ["a", "b", "o", "k1", "part"]
+
+    def rows(a, b, o, k1, at):
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(o, pa.int32()), pa.array(k1, pa.int64()), pa.array(np.full(n, at, np.int64))], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        o, k1, rep = (np.asarray(batch.column(i)) for i in (0, 1, 3))
+        if last is None:
+            yield rows(rep[:1], [0], o[:1], k1[:1], 2 * part)
+        else:
+            o, k1, rep = np.append(last[0], o), np.append(last[1], k1), np.append(last[2], rep)
+        last = o[-1:], k1[-1:], rep[-1:]
+        ok = (o[1:] == o[:-1]) & (k1[1:] == k1[:-1]) & (rep[1:] != rep[:-1])
+        x, y = rep[:-1][ok], rep[1:][ok]
+        yield rows(np.minimum(x, y), np.maximum(x, y), o[1:][ok], k1[1:][ok], -1)
+    if last is not None:
+        yield rows(last[2], [0], last[0], last[1], 2 * part + 1)
+
+
+def neighbours(forest: DataFrame) -> DataFrame:
+    """(a, b): each text and its predecessor in every region of every order."""
+    spark = forest.sparkSession
+    order = ["o", "k1", "k2", "n", "rep"]
+    out = common.cut(spark, forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_next_to, "a long, b long, o int, k1 long, part long"))
+    ends = sorted((r.part, r.o, r.k1, r.a) for r in out.where("part >= 0").collect())  # two rows a partition
+    met = [(min(x[3], y[3]), max(x[3], y[3])) for x, y in zip(ends, ends[1:]) if x[0] % 2 and x[1:3] == y[1:3] and x[3] != y[3]]
+    inside = out.where("part < 0").select("a", "b")
+    return (inside.unionByName(spark.createDataFrame(met, "a long, b long")) if met else inside).distinct()
+
+
 def _agree(least: int):
     def run(batches):
         for b in batches:
@@ -126,19 +176,16 @@ def _bitmaps(batches):
 
 
 def _confirm(percent: int):
-    def sets(column):
-        data, off = common.text_buffer(column)
-        return common.shingle_sets(data, off)
-
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 100):
                 b = whole.slice(at, 100)
-                x, xo = sets(b.column(2))
-                y, yo = sets(b.column(3))
-                ok = np.zeros(b.num_rows, bool)
-                for i in range(b.num_rows):
-                    s, t = x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]]
+                n = b.num_rows
+                data, off = common.text_buffer(pa.concat_arrays([b.column(2).cast(pa.large_string()), b.column(3).cast(pa.large_string())]))
+                sets, so = common.exact_shingles(data, off)
+                ok = np.zeros(n, bool)
+                for i in range(n):
+                    s, t = sets[so[i] : so[i + 1]], sets[so[n + i] : so[n + i + 1]]
                     if len(s) and len(t):
                         both = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
                         ok[i] = 100 * both >= percent * (len(s) + len(t) - both)
@@ -191,12 +238,33 @@ def _across(least: int):
     return run
 
 
+def _tiles(batches):
+    """Numbers rows of sorted regions by tiles: partition, then runs of TILE rows of a region."""
+    part = TaskContext.get().partitionId() << 32
+    last, run, tile = None, 0, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        o, k1 = np.asarray(b.column(0)), np.asarray(b.column(1))
+        new = np.append(last is None or last != (o[0], k1[0]), (o[1:] != o[:-1]) | (k1[1:] != k1[:-1]))
+        begins = np.flatnonzero(np.append(new[0], new[1:]))
+        place = np.arange(len(o)) + (0 if new[0] else run)
+        since = np.zeros(len(o), np.int64)
+        since[begins] = place[begins]
+        place = place - np.maximum.accumulate(since)
+        step = (place % TILE == 0) & ((place > 0) | new)
+        number = tile + np.cumsum(step)
+        last, run, tile = (o[-1], k1[-1]), int(place[-1]) + 1, int(number[-1])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part + number), b.column(2), b.column(3)], names=["o", "k1", "tile", "rep", "comp"])
+
+
 def _crossing(placed: DataFrame, sig: DataFrame, least: int) -> DataFrame:
     """Candidates (a, b) between components of a region; placed(o, k1, rep, comp) in order of component, tile against tile."""
+    spark = placed.sparkSession
     mixed = placed.groupBy("o", "k1").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("o", "k1")
-    rank = F.row_number().over(Window.partitionBy("o", "k1").orderBy("comp", "rep"))
-    tiled = placed.join(mixed, ["o", "k1"]).withColumn("tile", F.floor((rank - 1) / DENSE).cast("int"))
-    tiled = common.cut(placed.sparkSession, tiled.select("o", "k1", "tile", "rep", "comp"))
+    several = common.cut(spark, placed.join(mixed, ["o", "k1"]).select("o", "k1", "rep", "comp"))
+    order = ["o", "k1", "comp", "rep"]
+    tiled = common.cut(spark, several.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_tiles, "o int, k1 long, tile long, rep long, comp long"))
     ends = tiled.groupBy("o", "k1", "tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     first, last = ends.select("o", "k1", F.col("tile").alias("x"), "c0"), ends.select("o", "k1", F.col("tile").alias("y"), "c1")
     # tiles of one and the same component have nothing to compare
@@ -205,58 +273,68 @@ def _crossing(placed: DataFrame, sig: DataFrame, least: int) -> DataFrame:
     return both.groupBy("o", "k1", "x", "y").applyInArrow(_across(least), "a long, b long").distinct()
 
 
+def _again(some: DataFrame, classes: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Ids of several rows, and edges between the classes of each such id; None if there are none."""
+    spark = some.sparkSession
+    ids = common.cut(spark, some.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not common.has_rows(ids):
+        return None, None
+    of = some.join(ids, "doc_id").select("doc_id", "key").distinct().join(classes.select("key", "rep"), "key")
+    lo = of.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return ids, common.cut(spark, of.join(lo, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
+
+
 def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     least = least_agreement(percent)
-    signed = common.cut(spark, docs.mapInArrow(_sign, "doc_id long, n_shingles long, f1 long, f2 long, sig binary"))
-    key = ["n_shingles", "f1", "f2"]
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
-    classes = common.cut(spark, classes)
-    reps = classes.select("rep", F.col("n_shingles").alias("n"), "sig")
-    forest = reps.select("rep", "n", "sig").mapInArrow(_orders, "o int, k1 long, k2 long, rep long, n long")
-    w = Window.partitionBy("o", "k1").orderBy("k2", "n", "rep")
-    near = forest.withColumn("other", F.lag("rep").over(w)).where("other is not null and other <> rep")
-    near = near.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    sig = reps.select("rep", "sig")
+    signed = common.cut(spark, docs.mapInArrow(_sign, "doc_id long, n_shingles long, key binary, sig binary"))
+    known = signed.where("doc_id is not null")
+    some = known.where("n_shingles > 0")
+    classes = common.cut(spark, some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    sig = classes.select("rep", "sig")
+    forest = classes.select("rep", "n", "sig").mapInArrow(_orders, "o int, k1 long, k2 long, rep long, n long")
+    near = neighbours(forest)
 
     def estimated(pairs):
         both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
         return both.select("a", "b", "sa", "sb").mapInArrow(_agree(least), "a long, b long, same int")
 
-    def rooted(frame, column, stars, name):
-        s = stars.select(F.col("v").alias(column), F.col("root").alias("__root"))
-        return frame.join(s, column, "left").withColumn(name, F.coalesce("__root", column)).drop("__root")
-
     near = common.cut(spark, estimated(near))
     best = near.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), "b")
+    repeated, own = _again(known, classes)
     held = confirm(docs, best, percent)
+    if own is not None:
+        held = held.unionByName(own)
     stars = components(held)
-    rest = rooted(rooted(near.join(best, ["a", "b"], "left_anti"), "a", stars, "ra"), "b", stars, "rb").where("ra <> rb")
-    rest = common.cut(spark, rest.select("a", "b"))
+    rest = attach(attach(near.join(best, ["a", "b"], "left_anti"), "a", stars, "ra"), "b", stars, "rb").where("ra <> rb")
+    rest = common.cut(spark, rest.select("a", "b").distinct())
     tested = best.unionByName(rest)
     if common.has_rows(rest):
         held = held.unionByName(confirm(docs, rest, percent))
         stars = components(held)
     # regions that still hold several components
-    placed = rooted(forest, "rep", stars, "comp")
+    placed = attach(forest, "rep", stars, "comp")
     more = _crossing(placed, sig, least)
     more = common.cut(spark, more.join(tested, ["a", "b"], "left_anti"))
     if common.has_rows(more):
         held = held.unionByName(confirm(docs, more, percent))
         stars = components(held)
-    member = rooted(classes.select(*key, "rep"), "rep", stars, "component_id").select(*key, "component_id")
     # a document is its class's member; an empty set belongs to none
-    out = signed.select("doc_id", *key).join(member, key, "left")
-    mine = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", mine.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    member = attach(classes.select(F.col("key").alias("own"), "rep"), "rep", stars, "component_id").select("own", "component_id")
+    rows = common.cut(spark, signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("key")).alias("key")))
+    out = common.hot_left(rows, "key", member, "own", rows.count())
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    if repeated is not None:  # a row without words joins the other rows of its id
+        best = out.join(repeated, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        out = out.join(best, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all their columns, that are their group's smallest doc_id; of rows that repeat it, the one with the first text."""
     ids = link(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
-    joined = docs.join(ids, docs["doc_id"].cast("long") == F.col("__kept_id"), "left").where(F.col("__kept_id").isNotNull() | docs["doc_id"].isNull())
+    joined = docs.where("doc_id is not null").join(ids, docs["doc_id"].cast("long") == F.col("__kept_id"))
     first = F.row_number().over(Window.partitionBy("__kept_id").orderBy("text"))
-    return joined.withColumn("__first", first).where((F.col("__first") == 1) | F.col("__kept_id").isNull()).select(*[docs[c] for c in docs.columns])
+    return joined.withColumn("__first", first).where("__first = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -124,7 +124,6 @@ def _pack(capacity: int, final: bool):
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """pieces() with sequence_id and offset, and the round, bound and bins of the group that settled each."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     made = pieces(docs, path, length, end_id).withColumn("row", F.monotonically_increasing_id())
     made = common.cut(spark, made)
     full = made.where(F.col("length") == length).select("row", F.lit(-1).alias("round"), F.col("row").alias("group"), F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("bound"), F.lit(1).cast("long").alias("bins"))

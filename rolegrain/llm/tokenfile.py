@@ -156,7 +156,6 @@ _MANIFEST = "file string, at long, size long, first long, n_docs long, n_ids lon
 def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
     """Writes docs(doc_id, text) to ``folder`` (shared by all executors) and returns the manifest."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first())
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("text"), "text")

@@ -5,7 +5,9 @@ a single space between two visible characters, around a single line feed
 between such, and between a letter and the ASCII punctuation after it. A text's
 ids are therefore the concatenated ids of its pieces, cut at those places. Each
 distinct piece goes through the library once while it stays in a worker's
-bounded table; all else is hashing and gathering in numpy. Texts that spell
+bounded table; all else is hashing and gathering in numpy. The table is found by
+hash, and every hit is compared byte by byte; long pieces, and short ones that
+share another's hash, are kept by their bytes. Texts that spell
 out one of the vocabulary's special tokens go through the library whole.
 """
 
@@ -19,6 +21,8 @@ from . import common
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker's table holds; it starts anew beyond that, so memory is bounded.
 TABLE_PIECES = 1_200_000
+#: Longer pieces, up to so many bytes together, are kept by their bytes.
+SHORT, LONG_BYTES = 32, 1 << 26
 _JOIN = "\x00"
 
 _LETTER = np.zeros(256, bool)
@@ -131,14 +135,18 @@ class Encoder:
         self.table = PieceTable()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begins = np.zeros(1 << 16, np.int64)
-        self.n_flat = self.n_pieces = 0
+        self.sizes = np.zeros(1 << 16, np.int64)
+        self.blocks = np.zeros((1 << 16, SHORT // 8), np.uint64)
+        self.kept: dict[bytes, int] = {}
+        self.n_flat = self.n_pieces = self.kept_bytes = 0
 
     def _ids(self, tokenizer, texts: list[str]) -> np.ndarray:
         run = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         return np.concatenate([np.asarray(e.ids, np.uint32) for e in run(texts, add_special_tokens=False)] or [np.zeros(0, np.uint32)])
 
-    def _learn(self, raw: bytes, start, end, h, plain) -> None:
-        """Runs the library over distinct new pieces and enters their ids."""
+    def _learn(self, raw: bytes, start, end, plain) -> np.ndarray:
+        """Runs the library over new pieces; their entry numbers."""
+        entry = np.zeros(len(start), np.int64)
         for kind in (True, False):
             pick = np.flatnonzero(plain == kind)
             if not len(pick):
@@ -147,19 +155,22 @@ class Encoder:
             odd = [] if kind else [i for i, w in enumerate(words) if _JOIN in w]
             if odd:  # pieces that hold the joining character themselves
                 for i in odd:
-                    self._enter(h[pick[i : i + 1]], self._ids(self.tokenizer, [words[i]]), None)
+                    entry[pick[i]] = self._enter(self._ids(self.tokenizer, [words[i]]), None)[0]
                 keep = np.setdiff1d(np.arange(len(words)), odd)
                 words, pick = [words[i] for i in keep], pick[keep]
             if words:
                 ids = self._ids(self.joined[kind], [_JOIN.join(words[i : i + 2000]) for i in range(0, len(words), 2000)])
-                self._enter(h[pick], ids, end[pick] - start[pick])
+                entry[pick] = self._enter(ids, end[pick] - start[pick])
+        return entry
 
-    def _enter(self, h, ids, sizes) -> None:
-        n, m = len(h), len(ids)
+    def _enter(self, ids, sizes) -> np.ndarray:
+        n, m = 1 if sizes is None else len(sizes), len(ids)
         while self.n_flat + m > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n_pieces + n + 1 > len(self.begins):
             self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.blocks = np.concatenate([self.blocks, np.zeros_like(self.blocks)])
         self.flat[self.n_flat : self.n_flat + m] = ids
         if sizes is None:
             ends = np.array([m])
@@ -167,8 +178,64 @@ class Encoder:
             ends = np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum(sizes)) + 1
         self.begins[self.n_pieces] = self.n_flat
         self.begins[self.n_pieces + 1 : self.n_pieces + n + 1] = self.n_flat + ends
-        self.table.add(h, np.arange(self.n_pieces, self.n_pieces + n, dtype=np.int32))
         self.n_flat, self.n_pieces = self.n_flat + m, self.n_pieces + n
+        return np.arange(self.n_pieces - n, self.n_pieces)
+
+    def _remember(self, words, entry, start, size) -> None:
+        """Sizes and bytes of new short entries, to compare later hits with."""
+        self.sizes[entry] = size
+        for k in range(SHORT // 8):
+            live = np.flatnonzero(size > 8 * k)
+            self.blocks[entry[live], k] = words[start[live] + 8 * k] & common._HEAD[np.minimum(size[live] - 8 * k, 8)]
+
+    def _unlike(self, words, entry, start, size) -> np.ndarray:
+        """Which short pieces aren't, byte by byte, what their entry was learned from."""
+        differ = self.sizes[entry] != size
+        for k in range(-(-int(size.max(initial=0)) // 8)):
+            live = np.flatnonzero(size > 8 * k) if k else slice(None)
+            block = words[start[live] + 8 * k] & common._HEAD[np.minimum(size[live] - 8 * k, 8)]
+            differ[live] |= block != self.blocks[entry[live], k]
+        return np.flatnonzero(differ)
+
+    def _by_bytes(self, raw: bytes, which, start, end, plain, entry) -> None:
+        """Entries of pieces that are kept by their bytes."""
+        own = [raw[a:b] for a, b in zip(start[which].tolist(), end[which].tolist())]
+        new = {w: i for i, w in zip(which.tolist(), own) if w not in self.kept}
+        if new:
+            at = np.fromiter(new.values(), np.int64, len(new))
+            self.kept.update(zip(new, self._learn(raw, start[at], end[at], plain[at]).tolist()))
+            self.kept_bytes += sum(map(len, new))
+        entry[which] = [self.kept[w] for w in own]
+
+    def _entries(self, data, raw: bytes, at, ends, plain) -> np.ndarray:
+        size = ends - at
+        words = common.eights(data)
+        short, long = np.flatnonzero(size <= SHORT), np.flatnonzero(size > SHORT)
+        s_at, s_size = at[short], size[short]
+        h = common.span_hashes(data, s_at, ends[short], words)
+        found = self.table.find(h)
+        missing = np.flatnonzero(found < 0)
+        if self.n_pieces and (self.n_pieces + len(missing) + len(long) > TABLE_PIECES or self.kept_bytes > LONG_BYTES):
+            self._reset()
+            missing = np.arange(len(h))
+        if len(missing):
+            new, first = np.unique(h[missing], return_index=True)
+            first = missing[first]
+            while len(new) > (int(self.table.mask) + 1) // 2:  # a slice of one enormous document
+                self.table = PieceTable(int(self.table.mask).bit_length() + 1)
+            own = short[first]
+            number = self._learn(raw, at[own], ends[own], plain[own])
+            self.table.add(new, number.astype(np.int32))
+            self._remember(words, number, at[own], size[own])
+            found[missing] = self.table.find(h[missing])
+        entry = np.zeros(len(at), np.int64)
+        entry[short] = found
+        if len(long):
+            self._by_bytes(raw, long, at, ends, plain, entry)
+        unlike = self._unlike(words, found, s_at, s_size)
+        if len(unlike):
+            self._by_bytes(raw, short[unlike], at, ends, plain, entry)
+        return entry
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): ids of document i are ids[offsets[i]:offsets[i + 1]]."""
@@ -191,19 +258,7 @@ class Encoder:
         whole = sorted({i for s in self.special for i in _documents_with(raw, s, offsets)})
         at, plain = pieces(data, offsets)
         ends = np.append(at[1:], len(data))
-        h = common.span_hashes(data, at, ends)
-        entry = self.table.find(h)
-        missing = np.flatnonzero(entry < 0)
-        if len(missing):
-            if self.n_pieces + len(missing) > TABLE_PIECES and self.n_pieces:
-                self._reset()
-                missing = np.arange(len(h))
-            new, first = np.unique(h[missing], return_index=True)
-            first = missing[first]
-            while len(new) > (int(self.table.mask) + 1) // 2:  # a slice of one enormous document
-                self.table = PieceTable(int(self.table.mask).bit_length() + 1)
-            self._learn(raw, at[first], ends[first], new, plain[first])
-            entry[missing] = self.table.find(h[missing])
+        entry = self._entries(data, raw, at, ends, plain)
         begin = self.begins[entry]
         length = self.begins[entry + 1] - begin
         total = np.concatenate([[0], np.cumsum(length)])

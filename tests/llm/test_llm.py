@@ -168,8 +168,8 @@ def test_dedup_chains_and_hot_groups(spark):
 
 
 def test_dedup_in_dense_regions(spark, monkeypatch):
-    """However small the regions that count as dense, links just over the threshold are found."""
-    monkeypatch.setattr(dedup, "DENSE", 4)
+    """However small the tiles, links just over the threshold are found."""
+    monkeypatch.setattr(dedup, "TILE", 4)
     r = random.Random(11)
     texts = []
     for g in range(60):
@@ -184,6 +184,99 @@ def test_dedup_in_dense_regions(spark, monkeypatch):
     assert len(got) == 60 * 21 and [x.doc_id for x in got if x.component_id != x.doc_id // 21 * 21] == []
 
 
+def thue_morse(n: int, a: str, b: str) -> str:
+    """Words that polynomial hashes modulo a power of two can't tell from those with a and b exchanged."""
+    out = a
+    while len(out) < n:
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096, 8192])
+def test_words_that_defeat_polynomial_hashes(spark, n):
+    texts = [thue_morse(n, "a", "b"), thue_morse(n, "b", "a")]
+    e = tokens.Encoder(PATH)
+    ids, off = e.encode(pa.array(texts))
+    assert [ids[off[i] : off[i + 1]].tolist() for i in (0, 1)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    got = dedup.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {g.doc_id: g.component_id for g in got} == {0: 0, 1: 1}
+
+
+def test_colliding_hashes_change_nothing(spark, monkeypatch):
+    """With hashes of a hundred values, bytes alone decide."""
+    true = common.span_hashes
+    monkeypatch.setattr(common, "span_hashes", lambda *a: true(*a) % np.uint64(97))
+    e = tokens.Encoder(PATH)
+    texts = [prose(i, 50) for i in range(40)]
+    for _ in range(2):
+        ids, off = e.encode(pa.array(texts))
+        assert [ids[off[i] : off[i + 1]].tolist() for i in range(40)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    raw = " ".join(texts).encode()
+    data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    w = common.space_words(data, offsets)
+    number: dict[str, int] = {}
+    assert len(set(zip(common.interned(data, w.start, w.end).tolist(), raw.decode().split()))) == len({number.setdefault(x, len(number)) for x in raw.decode().split()})
+
+
+def test_exact_shingles_by_brute_force():
+    r = random.Random(12)
+    texts = [" ".join(r.choice("abcDE") for _ in range(r.randrange(25))) for _ in range(150)] + ["", "  ", " a  b "]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    sets = [set() if not w else {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    for make in (common.exact_shingles, common.shingle_sets):
+        got, at = make(data, offsets)
+        assert np.diff(at).tolist() == list(map(len, sets))
+        for i in range(0, 150, 3):
+            for j in range(i):
+                assert len(np.intersect1d(got[at[i] : at[i + 1]], got[at[j] : at[j + 1]])) == len(sets[i] & sets[j])
+
+
+def test_repeated_ids_are_one_vertex(spark):
+    a, b, c = prose(31, 60), prose(32, 60), prose(33, 60)
+    rows = [(3, a), (5, b), (7, a), (7, b), (8, c), (9, c.upper() + " "), (9, ""), (9, None), (11, "x"), (11, "y")]
+    got = dedup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((g.doc_id, g.component_id, g.kept) for g in got) == [(3, 3, True), (5, 3, False), (7, 3, False), (7, 3, False), (8, 8, True), *[(9, 8, False)] * 3, (11, 11, True), (11, 11, True)]
+    kept = dedup.representatives(spark.createDataFrame([*rows, (None, "n"), (None, "n")], "doc_id long, text string")).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 3, 8, 11]
+
+
+def test_regions_cut_over_partitions(spark):
+    """However the sorted orders are cut into partitions, neighbours meet."""
+    rows = [(o, k, 7 * i % 50, 100 * k + i, 1) for o in range(2) for k in range(2) for i in range(40)]
+    forest = spark.createDataFrame(rows, "o int, k1 long, k2 long, rep long, n long")
+    want = set()
+    for k in range(2):
+        run = [r[3] for r in sorted((r for r in rows if r[0] == 0 and r[1] == k), key=lambda r: r[2])]
+        want |= {(min(x), max(x)) for x in zip(run, run[1:])}
+    for parts in ("1", "7", "40"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        assert {tuple(r) for r in dedup.neighbours(forest).collect()} == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_components_by_brute_force(spark):
+    """A hot vertex, long paths and many small components, whether or not one task may finish."""
+    r = random.Random(21)
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1200)] + [(r.randrange(2000, 2600), r.randrange(2000, 2600)) for _ in range(250)]
+    up = {v: v for e in edges for v in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    want = {v: find(v) for v in up if find(v) != v}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    for last in (200_000, 5):
+        got = components(df, last).collect()
+        assert {x.v: x.root for x in got} == want and len(got) == len(want)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(1, 400).select((F.col("id") - 1).alias("a"), F.col("id").alias("b")).repartition(7)
     assert components(edges).where("root <> 0").count() == 0 and components(edges).count() == 399
