@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rolegrain.llm import common, decontam, dedup, html, knn, langid, licenses, packing, quality, queries, tokenfile, tokens, toxicity
+from rolegrain.llm import common, decontam, dedup, knn, langid, licenses, packing, quality, queries, tokenfile, tokens, toxicity
 from rolegrain.llm.components import components
 
 from .conftest import prose
@@ -351,17 +351,6 @@ def test_decontamination_of_short_items(spark):
     assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {3, 5}
 
 
-def test_html(spark):
-    page = """<html><body class="has-sidebar"><header><h1>Site</h1></header><div class="cookie-notice">We use</div><div><div class="sidebar">side</div>
-    <article><header><h1>Title &amp; x</h1></header><p>Para <b>bo</b>ld one. <p>Two&nbsp;x &#233;<ul><li>a<li>b</ul><script>var a = "</p>";</script><div class="share">tweet</div>
-    <form><input>go</form></article><section class="comments"><p>reader says a lot, a lot more than the article itself</p></section></div><footer>f</footer></body></html>"""
-    url = "https://a.example/1"
-    pages = spark.createDataFrame([(1, url, page, 1), (2, url, page[: page.index("Two")], 1), (3, None, None, 1), (4, url, "", 1), (5, "odd", "plain <b>text</b> &am", 1), (5, "odd", "a<!-- cut", 1), (6, url, "<p>no article here, but <i>so</i>me text</p>", 1)], "page_id long, url string, html string, host int")
-    got = sorted((r.page_id, r.text, r.n_chars) for r in html.extract(pages).collect())
-    assert [g[1] for g in got] == ["Title & x Para bold one. Two x é a b", "Title & x Para bold one.", "", "", "a", "plain text &am", "no article here, but some text"]
-    assert all(n == len(t) for _, t, n in got) and html.extract(pages.where("page_id < 0")).count() == 0
-
-
 def test_licenses_on_odd_rows(spark, edge, nothing):
     assert licenses.scan(edge).count() == 0 and licenses.scan(nothing).count() == 0
     text = prose(1, 50) + "\nLicensed under the Apache License, Version 2.0. " + prose(2, 900) + " RELEASED under the  MIT License"
