@@ -372,6 +372,48 @@ def test_top_k_on_odd_rows(spark):
     assert knn.top_k(v.where("vec_id < 0")).count() == 0 and knn.top_k(v.where("vec_id = 0")).count() == 0
 
 
+def clustered(rows: int, clusters: int, dims: int = 24):
+    r = np.random.default_rng(3)
+    centre = r.normal(0, 1, (clusters, dims))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    return [(i, (centre[i % clusters] + r.normal(0, 0.01, dims)).tolist()) for i in range(rows)]
+
+
+def brute_top(rows, every=50, k=5):
+    x = np.floor(256 * np.array([v for _, v in rows])).astype(np.int64)
+    out = []
+    for i, (q, _) in enumerate(rows):
+        if q % every == 0:
+            s = sorted(((-int(v), j) for j, v in enumerate(x @ x[i]) if j != i))[:k]
+            out += [(q, n, rows[j][0], -v) for n, (v, j) in enumerate(s, 1)]
+    return out
+
+
+def test_top_k_prunes_clusters(spark, monkeypatch):
+    """Of 20 clusters each vector goes to its own; results equal brute force, with small parts and blocks too."""
+    monkeypatch.setattr(knn, "PART_ROWS", 100)
+    monkeypatch.setattr(knn, "PART_QUERIES", 2)
+    rows, stats = clustered(3000, 20), {}
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), stats=stats).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows)
+    assert stats["rows"] == 3000 and stats["groups"] >= 2 and stats["routed"] <= 1.5 * 3000
+
+
+def test_top_k_sends_what_cannot_be_pruned_once(spark):
+    r, stats = np.random.default_rng(4), {}
+    rows = [(i, v) for i, v in enumerate(r.normal(0, 0.1, (1500, 48)).tolist())]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), stats=stats).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows) and stats["groups"] > 5 and stats["routed"] <= 1500
+
+
+def test_top_k_with_large_numbers_zeros_and_repeated_rows(spark):
+    """Scores beyond 2**53 are exact; a query of zeros ties with all; many copies of a query's own id don't count."""
+    big = [(0, [3e5, 1.0]), (1, [3e5, 1.0]), (2, [3e5, 0.99]), (50, [0.0, 0.0])] + [(0, [3e5, 1.0])] * 30
+    got = knn.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>"), k=2).orderBy("query_id", "rank").collect()
+    a = 256 * 300_000
+    assert [tuple(r) for r in got] == [(0, 1, 1, a * a + 256 * 256), (0, 2, 2, a * a + 256 * 253), (50, 1, 0, 0), (50, 2, 0, 0)]
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Planted cases go, clean documents stay, and all but the last stage keep the columns."""
     docs, items = common.table(spark, SF, "documents").collect(), common.table(spark, SF, "benchmark").collect()
