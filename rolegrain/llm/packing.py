@@ -1,17 +1,20 @@
 """Best-fit packing certified by dual-feasible lower bounds (operator 6).
 
 Texts become ids once; only (doc_id, piece, start, length, checksum) rows move.
-Each group of pieces is packed by best-fit decreasing. Dual-feasible functions
-give a lower bound for the group: full bins and groups that meet their bound
-without slack are settled. Groups with a gap (more bins than the
-bound, or free room) keep their full bins and hand the pieces of all others to
-the next round, where several groups' leftovers are dealt into one and
-best-fit decreasing runs again; the last round packs what is left.
+Each group of pieces is packed by best-fit decreasing, and dual-feasible
+functions give a lower bound for its number of bins. A group that meets its
+bound is certified and settles whole. A group with a gap settles its full bins
+only; its other pieces are dealt anew, together with those of other groups with
+gaps, and packed again. The exchange ends when every group is certified, when
+only one group is left, or when a round saves no bin: then the packing of the
+round before stands. It ends at once where the bins
+in use meet the bound over all lengths together.
 
 Defined results: a null or empty text is its end id alone. Documents over the
-length are cut from the back into full pieces, so the first is the shorter
-one. Rows with a null doc_id and repeated rows are packed like any other; an
-empty table gives no rows. Extra columns are ignored.
+length, however long, are cut from the back into full pieces, so the first is
+the shorter one. Rows with a null doc_id and repeated rows are packed like any
+other; equal lengths are placed in the order of doc_id, piece and row; an empty
+table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,9 +86,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, used
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best of two families of dual-feasible functions over the lengths' histogram."""
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+def histogram_bound(count: np.ndarray, capacity: int) -> int:
+    """The best of two families of dual-feasible functions over the number of pieces of each length."""
     size = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * size).sum()) // capacity)
     # f_eps: sizes over capacity - eps weigh the whole bin, sizes under eps nothing
@@ -104,21 +106,34 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _pack(capacity: int, final: bool):
-    schema = pa.schema([("round", pa.int32()), ("group", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("settled", pa.bool_()), ("key", pa.int64()), ("piece", pa.int32()), ("length", pa.int64()), ("row", pa.int64()), ("bound", pa.int64()), ("bins", pa.int64())])
+def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    """No packing of the lengths has fewer bins."""
+    return histogram_bound(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+_PLACED = "group long, bin long, offset long, settled boolean, key long, piece int, length long, row long, bound long, bins long"
+
+
+def _pack(capacity: int):
+    names = [x.split()[0] for x in _PLACED.split(", ")]
 
     def run(table: pa.Table) -> pa.Table:
-        group, r = table.column("group")[0].as_py(), table.column("round")[0].as_py()
+        group = table.column("group")[0].as_py()
         table = table.sort_by([("length", "descending"), ("key", "ascending"), ("piece", "ascending"), ("row", "ascending")])
         size = table.column("length").to_numpy()
         bins, offsets, used = best_fit_decreasing(size, capacity)
         bound = lower_bound(size, capacity)
         filled = np.bincount(bins, size, used)
-        settled = np.full(len(size), True) if final else (filled == capacity)[bins]
+        settled = np.full(len(size), True) if used == bound else (filled == capacity)[bins]
         n = len(size)
-        return pa.table([pa.array(np.full(n, r, np.int32)), pa.array(np.full(n, group)), pa.array(bins), pa.array(offsets), pa.array(settled), table.column("key"), table.column("piece"), table.column("length"), table.column("row"), pa.array(np.full(n, bound)), pa.array(np.full(n, used))], schema=schema)
+        made = [np.full(n, group), bins, offsets, settled, table.column("key"), table.column("piece"), table.column("length"), table.column("row"), np.full(n, bound), np.full(n, used)]
+        return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x) for x in made], names=names)
+
+    return run
 
-    return run, "round int, group long, bin long, offset long, settled boolean, key long, piece int, length long, row long, bound long, bins long"
+
+def _bins(placed: DataFrame) -> int:
+    return placed.select("group", "bin").distinct().count()
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
@@ -126,25 +141,35 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID,
     spark = docs.sparkSession
     made = pieces(docs, path, length, end_id).withColumn("row", F.monotonically_increasing_id())
     made = common.cut(spark, made)
-    full = made.where(F.col("length") == length).select("row", F.lit(-1).alias("round"), F.col("row").alias("group"), F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("bound"), F.lit(1).cast("long").alias("bins"))
+    zero = F.lit(0).cast("long")
+    columns = ["row", "round", "group", "bin", "offset", "bound", "bins"]
+    placed = [made.where(F.col("length") == length).select("row", F.lit(-1).alias("round"), F.col("row").alias("group"), zero.alias("bin"), zero.alias("offset"), F.lit(1).cast("long").alias("bound"), F.lit(1).cast("long").alias("bins"))]
     rest = made.where(F.col("length") < length).select(F.col("doc_id").alias("key"), "piece", "length", "row")
-    n, r, placed = rest.count(), 0, [full]
+    count = np.zeros(length + 1, np.int64)
+    for r in rest.groupBy("length").count().collect():  # at most one row a length
+        count[r["length"]] = r["count"]
+    n, bound, settled = int(count.sum()), histogram_bound(count, length), 0
+    base, r, before, old = 0, 0, None, None  # first group of the round, round, its pieces as they were packed and in how many bins
     while n:
         groups = max(1, -(-n // group_pieces))
-        final = groups == 1 or r >= 6
-        dealt = rest.withColumn("round", F.lit(r)).withColumn("group", F.pmod(F.xxhash64("row", F.lit(r)), F.lit(groups)))
-        run, schema = _pack(length, final)
-        out = common.cut(spark, dealt.groupBy("group").applyInArrow(run, schema))
-        placed.append(out.where("settled").select("row", "round", "group", "bin", "offset", "bound", "bins"))
-        if final:
+        dealt = rest.withColumn("group", base + F.pmod(F.xxhash64("row", F.lit(r)), F.lit(groups)))
+        out = common.cut(spark, dealt.groupBy("group").applyInArrow(_pack(length), _PLACED).withColumn("round", F.lit(r)))
+        used = _bins(out)
+        if old is not None and used >= old:  # the exchange saved nothing
+            placed.append(before)
+            break
+        done = settled + used <= bound or groups == 1
+        placed.append((out if done else out.where("settled")).select(columns))
+        if done:
             break
-        rest = out.where("not settled").select("key", "piece", "length", "row")
-        left = rest.count()
-        r = 6 if left > 0.9 * n else r + 1  # exchange no longer settles much: pack the groups as they are
-        n = left
+        before = out.where("not settled")
+        rest, old = before.select("key", "piece", "length", "row"), _bins(before)
+        before = before.select(columns)
+        settled += used - old
+        n, base, r = rest.count(), base + groups, r + 1
     at = placed[0]
     for p in placed[1:]:
         at = at.unionByName(p)
-    # rounds, groups and bins side by side in one integer: 4 bits, 28 bits, 31 bits; full pieces apart below zero
-    sequence = F.when(F.col("round") < 0, -1 - F.col("group")).otherwise(F.shiftleft(F.col("round").cast("long"), 59).bitwiseOR(F.shiftleft(F.col("group"), 31)).bitwiseOR(F.col("bin")))
+    # groups, numbered through all rounds, and bins side by side in one integer: 32 and 31 bits; full pieces apart below zero
+    sequence = F.when(F.col("round") < 0, -1 - F.col("group")).otherwise(F.shiftleft(F.col("group"), 31).bitwiseOR(F.col("bin")))
     return made.join(at.withColumn("sequence_id", sequence).drop("group", "bin"), "row").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", F.col("round").alias("pack_round"), F.col("bound").alias("group_bound"), F.col("bins").alias("group_bins"))
