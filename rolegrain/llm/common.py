@@ -288,6 +288,15 @@ def one_thread() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
+def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, label, text) of at most ``rows`` of labels(doc_id, label), picked by hash before any text is read."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "label").distinct()
+    picked = own.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")
+    first = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # a bounded number of ids
+    return first.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
+
+
 def keep_rows(docs: DataFrame, decide) -> DataFrame:
     """The rows of docs, with all their columns, for which decide(texts) is true."""
     at = docs.columns.index("text")

@@ -9,8 +9,9 @@ batched matrix products: presence x (landmarks x weights), the product of the
 two right factors being taken once, since (P Z')A = P(Z'A).
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
-if no row is labelled, every text is. Extra columns are ignored; repeated rows
-and ties give the same prediction (the alphabetically first language on a tie).
+if no row is labelled, every text is. Extra columns are ignored; very long
+texts are taken whole; repeated rows are learned from once and, like ties, give
+the same prediction (the alphabetically first language on a tie).
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ BITS = 14
 _SIZE = 1 << BITS
 _MULT = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 SAMPLE_ROWS, LANDMARKS = 2000, 256
+#: A text that scores less is in none of the learned languages.
+LEAST_SCORE = 0.5
 
 
 def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -67,8 +70,12 @@ def _packed(batches):
 def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, ridge: float = 1e-2):
     """(languages, weights per gram, temperature) from train(doc_id, text, lang); at most ``sample_rows`` of them."""
     common.one_thread()
-    picked = train.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("__h"), "doc_id").orderBy("__h", "doc_id").limit(sample_rows)
-    rows = picked.select("lang", "text").mapInArrow(_packed, "lang string, grams binary").collect()
+    usable = train.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "lang", "text").alias("__h"))
+    # hashes first, so that no task gathers texts; then one row a hash
+    picked = usable.select("__h").distinct().orderBy("__h").limit(sample_rows)
+    chosen = usable.join(F.broadcast(picked), "__h", "left_semi").groupBy("__h").agg(F.min(F.struct("lang", "text")).alias("r"))
+    rows = chosen.select("r.lang", "r.text").mapInArrow(_packed, "lang string, grams binary").collect()
+    rows.sort(key=lambda r: (r.lang, bytes(r.grams)))
     if not rows:
         return [], np.zeros((_SIZE, 0), np.float32), 1.0
     langs = sorted({r.lang for r in rows})
@@ -129,10 +136,15 @@ def predict(docs: DataFrame, model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def known(docs: DataFrame, model) -> DataFrame:
-    """The rows of docs, with all their columns, whose language isn't ``und``."""
+def known(docs: DataFrame, model, wanted: list[str] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, with all their columns, predicted to be in a wanted language (all learned ones) with at least that score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return common.keep_rows(docs, lambda text: judge(shared.value, text)[0] != "und")
+
+    def decide(text):
+        pred, score = judge(shared.value, text)
+        return (pred != "und") & (score >= least) & (np.isin(pred, wanted) if wanted is not None else True)
+
+    return common.keep_rows(docs, decide)
 
 
 def held_out(mod: int, rest: int):

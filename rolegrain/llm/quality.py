@@ -4,12 +4,15 @@ Every term (words and runs of signs, hashed within its shape class) has a fixed
 sparse random vector. A pass over all documents adds, into each term slot, the
 random vectors of the terms within two places: the slots' word vectors. A
 document is pooled into the mean, the spread and the mean step between
-neighbours of its word vectors, and the share of equal neighbours follows from
-a zero step. A two-layer numpy network is trained on a bounded sample of labelled rows
+neighbours of its word vectors. A two-layer numpy network is trained on a bounded sample of labelled rows
 (``sample_rows``); a temperature fitted on rows set aside calibrates it.
 
 Defined results: null and empty texts pool to zeros and get the network's
-answer to that; without labels every score is 0. Extra columns are ignored.
+answer to that; without labels every score is 0. Very long texts are pooled
+whole, in runs of ``RUN`` terms; repeated rows count as often in the word
+vectors and get equal scores; labels at the sample's edge are taken by hash,
+then doc_id, then label; of rows that repeat a doc_id the first text is learned
+from. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from .langid import held_out
 
 SLOTS, DIMS, NONZERO = 1 << 13, 32, 4
 SAMPLE_ROWS, HIDDEN = 8000, 48
+#: Terms whose vectors are held at a time.
+RUN = 1 << 16
 _BLOCK = 512  # slots in a row of the table of word vectors
 
 
@@ -92,24 +97,22 @@ def pool(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     """Documents x features."""
     n = len(offsets) - 1
     doc, slot = term_slots(data, offsets)
-    count = np.bincount(doc, minlength=n)
-    out = np.zeros((n, 3 * DIMS + 8), np.float32)
-    if not len(doc):
-        return out
-    some = count > 0
-    begins = np.searchsorted(doc, np.flatnonzero(some))
-    v = vectors[slot]
-    mean = np.add.reduceat(v, begins, axis=0) / count[some, None]
-    out[some, :DIMS] = mean
-    out[some, DIMS : 2 * DIMS] = np.sqrt(np.maximum(np.add.reduceat(v * v, begins, axis=0) / count[some, None] - mean**2, 0))
-    step = np.zeros_like(v)
-    step[1:] = np.abs(v[1:] - v[:-1])
-    step[begins] = 0
-    out[some, 2 * DIMS : 3 * DIMS] = np.add.reduceat(step, begins, axis=0) / count[some, None]
-    each = SLOTS // 8
-    for k in range(8):  # share of each shape: the mean of a one-hot part of the word vector
-        out[:, 3 * DIMS + k] = np.bincount(doc[slot // each == k], minlength=n) / np.maximum(count, 1)
-    return out
+    count = np.maximum(np.bincount(doc, minlength=n), 1)[:, None]
+    total, square, steps = (np.zeros((n, DIMS)) for _ in range(3))
+    for a in range(0, len(doc), RUN):
+        before = max(a - 1, 0)
+        v, own = vectors[slot[before : a + RUN]], doc[before : a + RUN]
+        step = np.abs(v[1:] - v[:-1])
+        step[own[1:] != own[:-1]] = 0
+        if a:
+            v, own = v[1:], own[1:]
+        else:
+            step = np.concatenate([np.zeros_like(v[:1]), step])
+        begins = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        for held, x in ((total, v), (square, v * v), (steps, step)):
+            held[own[begins]] += np.add.reduceat(x, begins, axis=0)
+    mean = total / count
+    return np.hstack([mean, np.sqrt(np.maximum(square / count - mean**2, 0)), steps / count]).astype(np.float32)
 
 
 def _pooled(shared):
@@ -167,9 +170,8 @@ class Network:
 def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample_rows: int = SAMPLE_ROWS) -> Network | None:
     common.one_thread()
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text").mapInArrow(_pooled(shared), "label int, features binary").collect()
+    rows = common.labelled(docs, known, sample_rows).select("label", "text").mapInArrow(_pooled(shared), "label int, features binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (bytes(r.features), r.label))
@@ -191,7 +193,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network | None) -> Data
                     out[i:j] = network(pool(vectors, data[off[i] : off[j]], off[i : j + 1] - off[i]).astype(np.float64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

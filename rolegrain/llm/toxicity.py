@@ -4,12 +4,19 @@ Terms of a text are its lower-cased words and their 4- and 5-byte beginnings,
 hashed; a term is present or not. The machine has a weight per term and a
 small vector per term whose inner products weigh pairs of terms that occur
 together. It is trained by Adam on the driver over a bounded sample of labelled
-rows (``sample_rows``), on the terms that at least ``min_rows`` of them (three, of small samples) hold and
-whose count among the toxic ones is off the expected one by ``min_z`` deviations.
+rows (``sample_rows``). Of the terms that at least ``min_rows`` of them (three,
+of small samples) hold, it gets those whose count among the toxic rows is off
+the expected one by ``min_z`` deviations, and both terms of every pair that is
+toxic more or less often, by ``pair_z`` deviations, than the two terms' own log
+odds add up to: such terms may each be neutral. Pairs are sought among the
+``pair_terms`` most frequent terms. Terms that do neither only add noise.
 
 Defined results: null and empty texts get the machine's bias as score; if no
 row is labelled, every score is 0. Only label values 0 and 1 are learned from;
-a document with several labels gives several rows. Extra columns are ignored.
+a document with several labels gives several rows, and of rows that repeat a
+doc_id the first text is learned from. Very long texts are read whole; repeated
+rows get equal scores; labels at the sample's edge are taken by hash, then
+doc_id, then label. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +31,7 @@ from .langid import held_out
 
 BITS = 18
 SAMPLE_ROWS, FACTORS = 8000, 8
+PAIR_TERMS, PAIR_Z, PAIR_ROWS = 3072, 6.0, 8
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,12 +62,42 @@ def _term_rows(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["label", "terms"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = SAMPLE_ROWS, min_rows: int = 5, min_z: float = 3.0, epochs: int = 12, seed: int = 7):
+def interacting(sets: list[np.ndarray], y: np.ndarray, terms: np.ndarray, least_z: float, least_rows: int = PAIR_ROWS) -> np.ndarray:
+    """The terms in pairs whose toxic share isn't the sum of their own log odds."""
+    m = len(terms)
+    if m < 2 or not 0 < y.sum() < len(y):
+        return np.zeros(0, np.int64)
+    at = np.full(1 << BITS, -1, np.int32)
+    at[terms] = np.arange(m)
+    both, bad = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    for i in range(0, len(sets), 500):
+        x = np.zeros((min(500, len(sets) - i), m), np.float32)
+        for k, s in enumerate(sets[i : i + 500]):
+            s = at[s]
+            x[k, s[s >= 0]] = 1
+        both += x.T @ x
+        x = x[y[i : i + 500] == 1]
+        bad += x.T @ x
+    rate = y.mean()
+    n, t = both.diagonal(), bad.diagonal()
+    odds = np.log((t + rate) / (n - t + 1 - rate)) - np.log(rate / (1 - rate))
+    found = np.zeros(m, bool)
+    for i in range(0, m, 256):
+        p = 1 / (1 + np.exp(-np.clip(odds[i : i + 256, None] + odds[None, :] + np.log(rate / (1 - rate)), -30, 30)))
+        n = both[i : i + 256]
+        z = (np.abs(bad[i : i + 256] - n * p) - 0.5) / np.sqrt(n * p * (1 - p) + 0.25)
+        hit = (n >= least_rows) & (z >= least_z)
+        hit[np.arange(len(hit)), i + np.arange(len(hit))] = False
+        found |= hit.any(0)
+        found[i : i + 256] |= hit.any(1)
+    return terms[found]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = SAMPLE_ROWS, min_rows: int = 5, min_z: float = 3.0, epochs: int = 12, seed: int = 7, pair_terms: int = PAIR_TERMS, pair_z: float = PAIR_Z):
     """{slot map, bias, weights, vectors}, or None without labels. docs(doc_id, text), labels(doc_id, label)."""
     common.one_thread()
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text").mapInArrow(_term_rows, "label int, terms binary").collect()
+    rows = common.labelled(docs, known, sample_rows).select("label", "text").mapInArrow(_term_rows, "label int, terms binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (bytes(r.terms), r.label))
@@ -69,7 +107,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = SAMPL
     bad = np.bincount(np.concatenate([s for s, t in zip(sets, y) if t] or [np.zeros(0, np.uint32)]), minlength=1 << BITS)
     rate = y.mean()
     z = (bad - seen * rate) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
-    kept = np.flatnonzero((seen >= min(min_rows, max(3, len(rows) // 400), max(1, len(rows) // 20))) & (np.abs(z) >= min_z))
+    often = seen >= min(min_rows, max(3, len(rows) // 400), max(1, len(rows) // 20))
+    frequent = np.argsort(-seen, kind="stable")[:pair_terms]
+    pairs = interacting(sets, y, frequent[often[frequent]], pair_z)
+    kept = np.union1d(np.flatnonzero(often & (np.abs(z) >= min_z)), pairs).astype(np.int64)
     slot = np.full(1 << BITS, -1, np.int32)
     slot[kept] = np.arange(len(kept))
     sets = [s[s >= 0] for s in (slot[s] for s in sets)]

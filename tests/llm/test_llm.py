@@ -46,11 +46,55 @@ def test_held_out_labels(spark, name, column, least):
     assert both.agg(F.avg((F.col("predicted") == F.col(column)).cast("double"))).first()[0] > least
 
 
+def test_toxicity_learns_pure_pairs(spark):
+    """Toxic if exactly one of two words occurs: each is neutral by itself."""
+    r = random.Random(5)
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        w = prose(i, 12).split() + ["tartle"] * a + ["wendish"] * b
+        r.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(a != b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = toxicity.rate(docs, lab).where("held_out").join(lab, "doc_id")
+    assert out.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double"))).first()[0] > 0.95
+
+
+def test_classifiers_take_integer_ids_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(i % 90, prose(i, 30)) for i in range(120)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i % 90, i % 2, i % 2) for i in range(100)], "doc_id int, quality int, toxic int")
+    for run in (quality.classify, toxicity.rate):
+        got = run(docs, labels)
+        assert got.count() == 120 and got.schema["doc_id"].dataType.simpleString() == "bigint"
+        near = lambda df: sorted((r.doc_id, r.held_out, round(r.score, 6), r.predicted) for r in df.collect())
+        assert near(got) == near(run(docs.repartition(7), labels.repartition(3)))
+
+
 def test_held_out_languages(spark):
     out = queries.op9_language_id(spark, SF).where("held_out").join(common.table(spark, SF, "documents").select("doc_id", "lang"), "doc_id")
     assert out.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0] > 0.97
 
 
+def test_languages_out_of_scope_are_rejected(spark):
+    """A text in no learned language, or in an unwanted one, goes; the others stay, whatever the wish's order."""
+    docs = common.table(spark, SF, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    r = random.Random(2)
+    odd = [(0, "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(300))), (1, " ".join("".join(r.choice("qxzjkvw") for _ in range(9)) for _ in range(60))), (2, docs.where("lang = 'de' and n_chars > 200").first().text), (3, docs.where("lang = 'en' and n_chars > 200").first().text)]
+    df = spark.createDataFrame(odd, "doc_id long, text string")
+    assert {x.doc_id for x in langid.known(df, model).collect()} == {2, 3}
+    assert {x.doc_id for x in langid.known(df, model, ["fr", "en"]).collect()} == {3}
+
+
+def test_language_sample_is_bounded_and_of_ids(spark):
+    docs = common.table(spark, SF, "documents").select("doc_id", "text", "lang")
+    many = docs.unionByName(docs).unionByName(docs)
+    a, b = langid.fit(docs, sample_rows=200), langid.fit(many.repartition(9), sample_rows=200)
+    assert a[0] == b[0] and np.allclose(a[1], b[1], atol=1e-4) and a[2] == b[2]
+
+
 def test_classifiers_on_odd_rows(edge, nothing, no_labels, spark):
     labels = spark.createDataFrame([(5, 1, 0), (6, 0, 1), (6, 1, 1), (7, None, None), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     for run in (quality.classify, toxicity.rate):
