@@ -12,9 +12,11 @@ name holds the task attempt, so that a retried or speculative task never
 touches another's file; only files named by the surviving attempt's manifest
 rows are read. The manifest has one row per segment.
 
-Defined results: a null or empty text is the end id alone; null doc_ids come
-first; rows with equal doc_id are in the order of their checksums; an empty
-table gives no segment. Extra columns are ignored.
+Defined results: a null or empty text is the end id alone; a very long text is
+one document of one segment, however many blocks that takes; null doc_ids come
+first; rows with equal doc_id are in the order of their checksums, then texts;
+an empty table gives no segment. Files of lost attempts are deleted once the
+manifest is complete. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from . import common, tokens
 END_ID = 2
 SEGMENT_IDS, BLOCK_IDS, LANES = 1 << 22, 1 << 18, 1024
 BITS = 24
+#: Input behind each file (as Spark estimates it), and a limit to what an estimate may ask for.
+PART_BYTES, MOST_PARTS = 1 << 26, 100_000
 _LOW = np.uint64(1 << 32)
 _MAGIC = b"RGT1"
 
@@ -156,7 +160,8 @@ _MANIFEST = "file string, at long, size long, first long, n_docs long, n_ids lon
 def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
     """Writes docs(doc_id, text) to ``folder`` (shared by all executors) and returns the manifest."""
     spark = docs.sparkSession
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PART_BYTES, MOST_PARTS))
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first())
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("text"), "text")
 
@@ -196,7 +201,17 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, partiti
         else:
             files.delete_file(f"{own}/{name}.tmp")
 
-    return common.cut(spark, ranged.mapInArrow(run, _MANIFEST))
+    manifest = common.cut(spark, ranged.mapInArrow(run, _MANIFEST))
+    _sweep(folder, {r.file for r in manifest.select("file").distinct().toLocalIterator()})
+    return manifest
+
+
+def _sweep(folder: str, kept: set[str]) -> None:
+    """Deletes what failed or repeated attempts left in the folder; a file a partition is listed."""
+    files, own = fs.FileSystem.from_uri(folder)
+    for f in files.get_file_info(fs.FileSelector(own, allow_not_found=True)):
+        if f.is_file and f.base_name not in kept:
+            files.delete_file(f.path)
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:

@@ -209,6 +209,14 @@ def test_token_file_round_trip(spark, edge, nothing):
     assert tokenfile.digest(nothing, PATH).count() == 0
 
 
+def test_leftovers_of_lost_attempts_go(spark, edge, tmp_path):
+    (tmp_path / "part-000000-0-lost.ids.tmp").write_bytes(b"x")
+    (tmp_path / "part-000001-0-lost.ids").write_bytes(b"x")
+    manifest = tokenfile.write(edge, f"file://{tmp_path}", PATH)
+    names = {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")}
+    assert names == {r.file for r in manifest.collect()} and tokenfile.read(manifest, f"file://{tmp_path}").count() == edge.count()
+
+
 def test_blocks_decode_and_notice_damage():
     r = np.random.default_rng(2)
     docs = [r.zipf(1.3, n).clip(0, 50_000).astype(np.uint32) for n in (1, 3000, 300_000)]
@@ -399,6 +407,8 @@ def test_decontamination_by_brute_force(spark, edge, nothing):
     assert all(x.stop - x.start <= 1.1 * 200 for x in got.values())
     assert decontam.clean(docs, bench).count() == 60 - len({k[0] for k in want})
     assert decontam.clean(edge, bench).columns == edge.columns and decontam.find(edge, bench).count() == 0
+    inside = decontam.find(edge, spark.createDataFrame([(1, prose(2, 80)[40:200]), (2, prose(1, 60_000)[-150:])], "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_id, x.edits) for x in inside) == [(5, 2, 0), (6, 1, 0), (7, 1, 0), (7, 1, 0), (8, 1, 0)]
     assert decontam.find(nothing, bench).count() == 0 and decontam.find(docs, bench.where("item_id < 0")).count() == 0
 
 
@@ -449,6 +459,18 @@ def test_licenses_on_odd_rows(spark, edge, nothing):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_license_bodies(spark):
+    """Whole bodies, one with a fifth of its words changed too much, inside long texts."""
+    body = licenses.TEMPLATES["BSD-3-Clause-body"]
+    w = body.split()
+    near = " ".join(x if i % 40 else "changed" for i, x in enumerate(w))
+    far = " ".join(x if i % 9 else "changed" for i, x in enumerate(w))
+    docs = spark.createDataFrame([(i, f"{prose(i, 700)} {t} {prose(i + 9, 300)}") for i, t in enumerate((body, near, far, licenses.TEMPLATES["MIT-body"]))], "doc_id long, text string")
+    got = {(r.doc_id, r.license_id): r.containment for r in licenses.scan(docs).collect()}
+    assert got[0, "BSD-3-Clause-body"] == 1 and 0.8 <= got[1, "BSD-3-Clause-body"] < 1 and (2, "BSD-3-Clause-body") not in got
+    assert got[3, "MIT-body"] == got[3, "MIT-permission"] == 1
+
+
 def test_top_k_on_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (50, [3.0, -1.0]), (50, [3.0, -1.0]), (3, None), (4, [1.0, None]), (5, [nan, 1.0]), (100, [inf, 1.0]), (6, [2.0]), (None, [1.0, 1.0]), (7, [])]
@@ -534,6 +556,27 @@ def test_pipeline_drops_near_copies_of_80_percent(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs.where("doc_id <> 2"), SF).collect()} == {1, 3}
 
 
+def test_pipeline_on_odd_rows(spark, edge):
+    """Nulls, blanks, very long texts, ties, repeated rows and clashing names through all stages."""
+    seen = edge
+    for i, (_, f) in enumerate(corpus_pipeline.STAGES):
+        before, seen = seen, f(spark, seen, SF)
+        if i < 4:
+            assert seen.columns == edge.columns and seen.schema["doc_id"].dataType == edge.schema["doc_id"].dataType
+            seen = common.cut(spark, seen)
+            assert seen.exceptAll(before).count() == 0
+    assert {r.doc_id for r in seen.collect()} <= {4, 5, 6, 10, None}
+
+
+def test_no_folder_is_made_up_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"master": "spark://x:7077", "getConf": staticmethod(lambda: Cluster.conf)})
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Cluster)
+
+
 def test_pipeline_on_nothing(spark, nothing):
     seen = nothing
     for _, f in corpus_pipeline.STAGES:
