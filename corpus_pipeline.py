@@ -5,8 +5,12 @@ Filtering stages return whole rows with every column of documents; the last
 returns one row per packed piece. Models are fitted on the labelled rows of the
 source tables in sf_dir, so that a stage judges alike whatever came before.
 
-Defined results: null and empty texts have no language and go in the first
-stage; an empty table stays empty; extra columns are carried along.
+Defined results: null, empty and letterless texts have no language and go in the
+first stage, and so do texts that score as none of the learned languages; very
+long texts are taken whole by every stage; of near-duplicates, equal ones
+included, the smallest doc_id stays, and of rows that repeat it the one with the
+first text; rows with a null doc_id are never duplicates; an empty table stays
+empty; extra columns, whatever their names, are carried along until packing.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from rolegrain.llm.common import cut, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language (operator 9)."""
+    """Documents that score as one of the learned languages (operator 9)."""
     return langid.known(docs, langid.fit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
