@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled by one numpy pass; a longer document is a pass of its own.
 SLICE_BYTES = 1 << 19
+#: Documents of one numpy pass, however short they are.
+SLICE_DOCS = 512
 
 _U64 = np.uint64
 
@@ -70,11 +72,11 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of documents of at most ``limit`` bytes together, or one document."""
+    """Runs [i, j) of at most SLICE_DOCS documents and ``limit`` bytes together, or one document."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), i + SLICE_DOCS, n)
         yield i, j
         i = j
 
@@ -302,7 +304,9 @@ def keep_rows(docs: DataFrame, decide) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(decide(b.column(at)), pa.bool_()))
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                b = whole.slice(i, 1000)
+                yield b.filter(pa.array(decide(b.column(at)), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

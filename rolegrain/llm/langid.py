@@ -49,9 +49,9 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.reshape(n, _SIZE)
 
 
-def has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ascii_letter = ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122))
-    total = np.concatenate([[0], np.cumsum(ascii_letter)])
+    total = np.concatenate([[0], np.cumsum(ascii_letter, dtype=np.int64)])
     out = total[offsets[1:]] > total[offsets[:-1]]
     for i in np.flatnonzero(~out & (np.diff(offsets) > 0)):
         out[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode())
@@ -112,12 +112,12 @@ def judge(model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(off) - 1
     pred, score = np.full(n, "und", object), np.zeros(n)
     if langs:
-        letters = has_letter(text, data, off)
         for i, j in common.slices(off):
-            p = presence(data[off[i] : off[j]], off[i : j + 1] - off[i]).astype(np.float32)
+            part, own = data[off[i] : off[j]], off[i : j + 1] - off[i]
+            p = presence(part, own).astype(np.float32)
             prob = _softmax(heat * (p @ weights) / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1)))
             best = prob.argmax(1)
-            ok = letters[i:j]
+            ok = has_letter(part, own)
             pred[i:j][ok] = np.array(langs, object)[best][ok]
             score[i:j][ok] = prob[np.arange(j - i), best][ok]
     return pred, score
