@@ -12,7 +12,10 @@ from .functions import expressions as X
 from .operators import categorical as C
 from .operators import dates, insight, metrics, models, numeric, reader, relational, target
 from .plans import pipelines
+from .plans.automl import Algo, AutoML
+from .plans.reading import Reader
 from .plans.roles import Role, RoleFrame
+from .plans.validation import Validation
 from .sources import io
 
 _QUERIES, _SQL = {}, {}
@@ -89,7 +92,7 @@ def ordinal_encode(spark, d):
 @query("WITH m AS (SELECT l_partkey AS v, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, l_partkey, l_linenumber, CAST(coalesce(n, 1) AS INT) AS freq FROM lineitem LEFT JOIN m ON l_partkey = v")
 def freq_encode(spark, d):
     df = t(spark, d, "lineitem")
-    return C.freq_encode(df, C.fit_labels(df, ["l_partkey"]), ["l_partkey"]).select("l_orderkey", "l_partkey", "l_linenumber", F.col("freq__l_partkey").alias("freq"))
+    return C.freq_encode(df, C.fit_counts(df, ["l_partkey"]), ["l_partkey"]).select("l_orderkey", "l_partkey", "l_linenumber", F.col("freq__l_partkey").alias("freq"))
 
 
 def _inter(n):
@@ -568,10 +571,64 @@ def tree_advanced_features(spark, d):
     return out.toDF(*[c.replace("(", "_").replace(")", "_") for c in out.columns])
 
 
-@query()
+_Q9 = "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]"
+_LINEAR = f"""WITH {_JOINED}, b AS (SELECT *, (epoch(l_shipdate) - epoch(TIMESTAMP '2020-01-01')) / 86400 AS dt FROM j),
+m AS (SELECT avg(l_quantity) AS aq, stddev_samp(l_quantity) AS sq, avg(l_tax) AS ax, stddev_samp(l_tax) AS sx, avg(dt) AS ad, stddev_samp(dt) AS sd, list_distinct(quantile_cont(l_quantity, {_Q9})) AS eq, list_distinct(quantile_cont(l_tax, {_Q9})) AS ex FROM b),
+s AS (SELECT l_linestatus AS v, row_number() OVER (ORDER BY count(*) DESC, l_linestatus) AS i FROM j GROUP BY 1 HAVING count(*) > 5),
+p AS (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS i FROM j GROUP BY 1 HAVING count(*) > 5)
+SELECT id, y, fold, CAST(year(l_shipdate) AS INT) AS season_y__l_shipdate, CAST(month(l_shipdate) AS INT) AS season_m__l_shipdate, CAST(isodow(l_shipdate) - 1 AS INT) AS season_wd__l_shipdate,
+round((l_quantity - aq) / sq, 6) AS scaler__fillnamed__fillinf__l_quantity, round((l_tax - ax) / sx, 6) AS scaler__fillnamed__fillinf__l_tax, round((dt - ad) / sd, 6) AS scaler__fillnamed__fillinf__dtdiff__l_shipdate,
+CAST(1 + len(list_filter(eq, lambda e: l_quantity >= e)) AS INT) AS qntl__l_quantity, CAST(1 + len(list_filter(ex, lambda e: l_tax >= e)) AS INT) AS qntl__l_tax,
+CAST(coalesce(s.i, 0) AS INT) AS le__l_linestatus, CAST(coalesce(p.i, 0) AS INT) AS le__o_orderpriority
+FROM b CROSS JOIN m LEFT JOIN s ON s.v = l_linestatus LEFT JOIN p ON p.v = o_orderpriority"""
+
+
+@query(_LINEAR)
 def linear_features(spark, d):
     f = _frame(spark, d)
-    return pipelines.linear(f).fit_transform(f)
+    out = pipelines.linear(f).fit_transform(f)
+    return out.withColumns({c: r6(c) for c in out.columns if c.startswith("scaler__")})
+
+
+# ---------------------------------------------------------------- whole runs
+
+
+def _orders(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", X.fold_of(F.col("o_orderkey")).alias("fold"))
+
+
+def _read(spark, d):
+    return Reader("multiclass").fit_read(_orders(spark, d), "o_orderstatus", key="o_orderkey", fold="fold")
+
+
+@query("WITH k AS (SELECT o_orderstatus AS l, CAST(row_number() OVER (ORDER BY o_orderstatus) - 1 AS INT) AS i FROM orders GROUP BY 1) SELECT o_orderkey, i AS status, CAST(o_orderkey % 5 AS INT) AS fold, o_totalprice, o_orderpriority FROM orders JOIN k ON l = o_orderstatus")
+def reader_fit_read(spark, d):
+    return _read(spark, d).df.select("o_orderkey", F.col("o_orderstatus").alias("status"), "fold", "o_totalprice", "o_orderpriority")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 5 = 0")
+def holdout_iterator(spark, d):
+    ((_, valid),) = Validation(_read(spark, d)).to_holdout()
+    return valid.select("o_orderkey", "o_totalprice")
+
+
+def _run(spark, d):
+    """Large orders by customer segment and date, from two models of two folds."""
+    o, c = t(spark, d, "orders"), t(spark, d, "customer")
+    df = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_totalprice", "o_orderpriority", "c_mktsegment", F.when(F.col("o_totalprice") + 20 * F.col("c_acctbal") > 250_000, "large").otherwise("small").alias("size"), "c_acctbal")
+    run = AutoML("binary", [[Algo("lin", params={"regParam": 0.01}), Algo("gbt", "gbt", "tree_simple", {"maxIter": 3})]], "mean", folds=2)
+    return run, run.fit_predict(df, "size", key="o_orderkey"), df
+
+
+@query()
+def automl_fit_predict(spark, d):
+    return _run(spark, d)[1].select("o_orderkey", "size", F.round("prediction", 4).alias("prediction"))
+
+
+@query()
+def automl_predict_new(spark, d):
+    run, _, df = _run(spark, d)
+    return run.predict(df.drop("size")).select("o_orderkey", F.round("prediction", 4).alias("prediction"))
 
 
 def _quality(spark, d):

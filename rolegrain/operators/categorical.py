@@ -38,6 +38,11 @@ def fit_labels(df: DataFrame, cols: list[str], min_freq: int = 0, order: str = "
     return model
 
 
+def fit_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(col, val, cnt): frequencies need no numbering."""
+    return unpivot(df, cols).where("val is not null").groupBy("col", "val").agg(F.count("*").alias("cnt"))
+
+
 def lookup(df: DataFrame, model: DataFrame, col: str, value: str, out: str, default, dtype: str = "int") -> DataFrame:
     """Left join of one column's part of the model. Its size is the planner's to judge: broadcast while small, else shuffled."""
     part = model.where(F.col("col") == col).select(F.col("val").alias("__val"), F.col(value).alias("__idx"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -22,6 +23,27 @@ def run_parallel(tasks: list[Callable], slots: int = 1) -> list:
         return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialises df in the folder that all executors share (spark.checkpoint.dir) and cuts its lineage.
+
+    Only a local session may do without that setting; it gets a temporary folder.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="rolegrain-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """A table of a row per column or class, as literal rows."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 class Deadline:
     def __init__(self, seconds: float):
         self.end = time.monotonic() + seconds

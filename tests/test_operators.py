@@ -164,6 +164,12 @@ def test_role_guesses(spark):
     assert roles == {"empty": "Drop", "b": "Category", "v": "NumericVectorOrArray", "d": "Numeric", "s": "Category"}
 
 
+def test_metrics_leave_out_nulls(spark):
+    df = spark.createDataFrame([(1, 0.5), (0, 0.5), (None, 0.9), (1, None)], "y int, s double")
+    assert metrics.log_loss(df, "y", "s").first()[0] == pytest.approx(math.log(2))
+    assert metrics.regression(df, "y", "s").first()["mae"] == 0.5 and metrics.confusion(df, "y", "s").count() == 2
+
+
 def test_metrics_on_ties(spark):
     df = spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 0.9), (0, 0.1)], "y int, s double")
     assert metrics.auc(df, "y", "s").first()[0] == pytest.approx(0.875)
