@@ -59,7 +59,7 @@ def _contexts(batches):
     total = np.zeros(SLOTS * DIMS)
     for b in batches:
         data, off = common.text_buffer(b.column(0))
-        for i, j in common.slices(off, 1 << 21):
+        for i, j in common.slices(off, 1 << 21, 1 << 14):
             doc, slot = term_slots(data[off[i] : off[j]], off[i : j + 1] - off[i])
             for gap in (1, 2):
                 ok = doc[gap:] == doc[:-gap]
