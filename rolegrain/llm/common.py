@@ -71,12 +71,12 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of at most SLICE_DOCS documents and ``limit`` bytes together, or one document."""
+def slices(offsets: np.ndarray, limit: int = SLICE_BYTES, docs: int = SLICE_DOCS) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of at most ``docs`` documents and ``limit`` bytes together, or one document."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1
-        j = min(max(j, i + 1), i + SLICE_DOCS, n)
+        j = min(max(j, i + 1), i + docs, n)
         yield i, j
         i = j
 
@@ -259,9 +259,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Materialises df in the shared folder and cuts its lineage."""
+    """Materialises df in the shared folder and cuts its lineage; meanwhile Python workers get batches of 1000 rows."""
     shared_folder(spark)
-    return df.checkpoint(eager=True)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 #: Keys with at least this part of all rows are hot; there can't be more of them than its inverse.
