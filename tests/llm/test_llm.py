@@ -280,6 +280,69 @@ def test_dedup_in_dense_regions(spark, monkeypatch):
     assert len(got) == 60 * 21 and [x.doc_id for x in got if x.component_id != x.doc_id // 21 * 21] == []
 
 
+def test_dedup_confirms_families_in_blocks(spark, monkeypatch):
+    """In a family of texts all alike but few linked, the pairs confirmed one by one stay as few as the neighbours, and no link is lost."""
+    r = random.Random(31)
+    base = prose(51, 200).split()
+    texts = []
+    for i in range(300):  # 0.8 alike with two words replaced each, linked with those of one word
+        w = list(base)
+        for _ in range(1 if i % 30 == 7 else 2):
+            w[r.randrange(200)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    up = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((up[i], up[j]))
+                up = [a if x == b else x for x in up]
+    pairs, true = [], dedup.confirm
+    monkeypatch.setattr(dedup, "confirm", lambda docs, edges, percent: pairs.append(edges.count()) or true(docs, edges, percent))
+    monkeypatch.setattr(dedup, "least_agreement", lambda percent: 70)
+    got = dedup.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 90).orderBy("doc_id").collect()
+    assert [g.component_id for g in got] == up and len(set(up)) > 100
+    assert sum(pairs) <= 26 * len(texts)
+
+
+def test_blocks_of_pairs_by_brute_force(monkeypatch):
+    """However small the blocks: each pair of components once, in the first order it shares, and confirmed by bytes; repeated ids have all their texts."""
+    monkeypatch.setattr(dedup, "BLOCK_DOCS", 3)
+    r = random.Random(32)
+    base = prose(52, 120).split()
+    texts = [" ".join("y%d" % r.randrange(99) if r.random() < 0.015 else w for w in base) for _ in range(40)]
+    data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    sig = dedup.signatures(*common.shingle_sets(data, off))
+    block, comp = dedup._blocks(sig), [i // 3 * 3 for i in range(40)]
+    seen: list[tuple[int, int]] = []
+    links = set()
+    for o in range(dedup.ORDERS):
+        k1 = int(np.bincount(np.unique(block[:, o], return_inverse=True)[1]).argmax())
+        k1 = int(np.unique(block[:, o])[k1])
+        own = np.flatnonzero(block[:, o] == k1)
+        tile = [(o, k1, x, y, t, int(i), comp[i], sig[i].tobytes(), len(texts[i])) for x, y in ((0, 0), (0, 1), (1, 1)) for t in {x, y} for i in own if i // 20 == t]
+        for x, y in ((0, 0), (0, 1), (1, 1)):
+            part = [v for v in tile if v[2:4] == (x, y)]
+            if not part:
+                continue
+            got = dedup._across(60)(pa.table({n: [v[k] for v in part] for k, n in enumerate(("o", "k1", "x", "y", "tile", "rep", "comp", "sig", "bytes"))}))
+            for b in got.to_pylist():
+                ids = np.frombuffer(b["ids"], np.int64)
+                hit = np.unpackbits(np.frombuffer(zlib.decompress(b["bits"]), np.uint8), count=b["n"] * (len(ids) - b["n"])).reshape(b["n"], -1)
+                assert max(hit.shape) <= 3
+                seen += [tuple(sorted((int(ids[i]), int(ids[b["n"] + j])))) for i, j in zip(*np.nonzero(hit))]
+                there = [(b["g"], int(i), texts[i], None, None, None, None) for i in set(ids.tolist())] + [(b["g"], ids[0], "", None, None, None, None), (b["g"], None, None, b["n"], b["ids"], b["comps"], b["bits"])]
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                t = pa.Table.from_arrays([pa.array([v[k] for v in there], kind) for k, kind in enumerate(kinds)], names=["g", "id", "text", "n", "ids", "comps", "bits"])
+                links |= {(a, c) for x in dedup._confirm_blocks(85)(t.to_batches()) for a, c in zip(*x.to_pydict().values())}
+    assert len(seen) == len(set(seen)) > 50 and all(comp[a] != comp[b] for a, b in seen)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    true = {(a, b) for a, b in seen if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    joined = lambda pairs: {tuple(sorted((comp[a], comp[b]))) for a, b in pairs}
+    assert links <= true and joined(links) == joined(true) and 0 < len(true) < len(seen)
+
+
 def thue_morse(n: int, a: str, b: str) -> str:
     """Words that polynomial hashes modulo a power of two can't tell from those with a and b exchanged."""
     out = a
