@@ -8,6 +8,7 @@ shingles are computed for a whole slice of documents by numpy.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import tempfile
@@ -289,6 +290,27 @@ def hot_left(frame: DataFrame, column: str, unique: DataFrame, key: str, rows: i
     return often.unionByName(rest).drop("__hot").unionByName(frame.where(F.col(column).isNull()), allowMissingColumns=True)
 
 
+def release() -> None:
+    """Gives the memory that this Python worker has freed back to the system; workers outlive their tasks, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run):
+    """run, a function of batches, that gives memory back when a task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def one_thread() -> None:
     """Arithmetic libraries in a Python worker keep to the task's own core."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS", "RAYON_NUM_THREADS"):
@@ -315,4 +337,4 @@ def keep_rows(docs: DataFrame, decide) -> DataFrame:
                 b = whole.slice(i, 1000)
                 yield b.filter(pa.array(decide(b.column(at)), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -227,5 +227,5 @@ def clean(docs: DataFrame, items: DataFrame, max_rate: float = MAX_RATE, min_byt
                         keep[i + x] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(common.tidy(run), docs.schema)
     return docs

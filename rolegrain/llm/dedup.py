@@ -149,7 +149,7 @@ def neighbours(forest: DataFrame) -> DataFrame:
     """(a, b): each text and its predecessor in every region of every order."""
     spark = forest.sparkSession
     order = ["o", "k1", "k2", "n", "rep"]
-    out = common.cut(spark, forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_next_to, "a long, b long, o int, k1 long, part long"))
+    out = common.cut(spark, forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(common.tidy(_next_to), "a long, b long, o int, k1 long, part long"))
     ends = sorted((r.part, r.o, r.k1, r.a) for r in out.where("part >= 0").collect())  # two rows a partition
     met = [(min(x[3], y[3]), max(x[3], y[3])) for x, y in zip(ends, ends[1:]) if x[0] % 2 and x[1:3] == y[1:3] and x[3] != y[3]]
     inside = out.where("part < 0").select("a", "b")
@@ -208,7 +208,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of docs whose ids are in some column of ids, and a few more."""
     spark = docs.sparkSession
     bits = np.zeros(1 << (_BITMAP_BITS - 3), np.uint8)
-    for r in ids.coalesce(8).mapInArrow(_bitmaps, "bits binary").toLocalIterator():
+    for r in ids.coalesce(8).mapInArrow(common.tidy(_bitmaps), "bits binary").toLocalIterator():
         bits |= np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
     shared = spark.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))  # 2 MB at most
 
@@ -217,7 +217,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(there[_bit(np.asarray(b.column(0)))]))
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(pick, "doc_id long, text string")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(common.tidy(pick), "doc_id long, text string")
 
 
 def confirm(docs: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
@@ -225,7 +225,7 @@ def confirm(docs: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     spark = docs.sparkSession
     texts = _texts(docs, edges.select("a", "b"))
     pairs = edges.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return common.cut(spark, pairs.select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long").distinct())
+    return common.cut(spark, pairs.select("a", "b", "ta", "tb").mapInArrow(common.tidy(_confirm(percent)), "a long, b long").distinct())
 
 
 def _across(least: int):
@@ -372,7 +372,7 @@ def confirm_blocks(docs: DataFrame, blocks: DataFrame, percent: int) -> DataFram
     texts = members.join(_texts(docs, members.select("id")), F.col("id") == F.col("doc_id")).select("g", "id", "text")
     rows = texts.unionByName(blocks, allowMissingColumns=True).select("g", "id", "text", "n", "ids", "comps", "bits")
     rows = rows.repartition("g").sortWithinPartitions("g")
-    return common.cut(docs.sparkSession, rows.mapInArrow(_confirm_blocks(percent), "a long, b long"))
+    return common.cut(docs.sparkSession, rows.mapInArrow(common.tidy(_confirm_blocks(percent)), "a long, b long"))
 
 
 def _tiles(batches):
@@ -426,17 +426,17 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     least = least_agreement(percent)
-    signed = common.cut(spark, docs.mapInArrow(_sign, "doc_id long, n_shingles long, key binary, sig binary, bytes long"))
+    signed = common.cut(spark, docs.mapInArrow(common.tidy(_sign), "doc_id long, n_shingles long, key binary, sig binary, bytes long"))
     known = signed.where("doc_id is not null")
     some = known.where("n_shingles > 0")
     classes = common.cut(spark, some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.max("bytes").alias("bytes")))
     sig = classes.select("rep", "sig")
-    forest = classes.select("rep", "n", "sig").mapInArrow(_orders, "o int, k1 long, k2 long, rep long, n long")
+    forest = classes.select("rep", "n", "sig").mapInArrow(common.tidy(_orders), "o int, k1 long, k2 long, rep long, n long")
     near = neighbours(forest)
 
     def estimated(pairs):
         both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-        return both.select("a", "b", "sa", "sb").mapInArrow(_agree(least), "a long, b long, same int")
+        return both.select("a", "b", "sa", "sb").mapInArrow(common.tidy(_agree(least)), "a long, b long, same int")
 
     near = common.cut(spark, estimated(near))
     best = near.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), "b")

@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
                 yield pa.RecordBatch.from_arrays(arrays if with_ids else arrays[:5], names=names if with_ids else names[:5])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.tidy(run), schema)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:

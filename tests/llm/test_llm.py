@@ -343,6 +343,30 @@ def test_blocks_of_pairs_by_brute_force(monkeypatch):
     assert links <= true and joined(links) == joined(true) and 0 < len(true) < len(seen)
 
 
+def test_dense_regions_come_back_in_little_space():
+    """Two tiles, all pairs of which are candidates: 4 million pairs in under a megabyte, and every text of them."""
+    n = 2000
+    sig = np.random.default_rng(5).integers(0, 1 << 16, dedup.HASHES).astype(np.uint16).tobytes()
+    t = pa.table({"o": [0] * 2 * n, "k1": [1] * 2 * n, "x": [0] * 2 * n, "y": [1] * 2 * n, "tile": [0] * n + [1] * n, "rep": range(2 * n), "comp": range(2 * n), "sig": pa.array([sig] * 2 * n, pa.binary()), "bytes": [100] * 2 * n})
+    got = dedup._across(100)(t)
+    assert got.nbytes < 1 << 20
+    if "bits" in got.column_names:
+        assert sum(np.unpackbits(np.frombuffer(zlib.decompress(x), np.uint8)).sum() for x in got["bits"].to_pylist()) == n * n
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """At the end of a task, also of one that is given up."""
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    assert list(common.tidy(lambda batches: (2 * b for b in batches))([1, 2])) == [2, 4] and calls == [1]
+    some = common.tidy(lambda batches: iter(batches))([1, 2])
+    next(some)
+    some.close()
+    assert calls == [1, 1]
+    monkeypatch.undo()
+    common.release()
+
+
 def thue_morse(n: int, a: str, b: str) -> str:
     """Words that polynomial hashes modulo a power of two can't tell from those with a and b exchanged."""
     out = a
